@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeflow.llm import secrets
+from lodeflow.llm import pii, secrets
 from lodeflow.session import table
 
 QUERIES: dict = {}
@@ -31,3 +31,21 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code contexts with credentials blanked out."""
     rows = table(spark, sf_dir, "training_examples").select("example_id", "code_context")
     return secrets.redact(rows, "code_context").select("example_id", "redacted").distinct()
+
+
+@_query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal information in the documents."""
+    return pii.find_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query
+def p9_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with placeholders for personal information."""
+    return pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "sanitised")
+
+
+@_query
+def p9_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How strongly terms disclose a person, over all documents."""
+    return pii.term_statistics(table(spark, sf_dir, "documents"), "text").withColumn("disclosure", F.round("disclosure", 6))
