@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeflow.llm import pii, secrets
+from lodeflow.llm import leaks, pii, secrets
 from lodeflow.session import table
 
 QUERIES: dict = {}
@@ -49,3 +49,15 @@ def p9_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How strongly terms disclose a person, over all documents."""
     return pii.term_statistics(table(spark, sf_dir, "documents"), "text").withColumn("disclosure", F.round("disclosure", 6))
+
+
+@_query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that give away benchmark items."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark_items"), "item_id", "text")
+
+
+@_query
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items by the number of documents they leaked into."""
+    return leaks.leak_report(p8_found(spark, sf_dir))
