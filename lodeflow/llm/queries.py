@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeflow.llm import leaks, pii, secrets
+from lodeflow.llm import history, leaks, pii, secrets
 from lodeflow.session import table
 
 QUERIES: dict = {}
@@ -61,3 +61,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items by the number of documents they leaked into."""
     return leaks.leak_report(p8_found(spark, sf_dir))
+
+
+@_query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of new batches that repeat an accepted entry."""
+    return history.link(table(spark, sf_dir, "baseline_entries"))[0]
+
+
+@_query
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted entries with the last_seen that their repeats moved on."""
+    return history.link(table(spark, sf_dir, "baseline_entries"))[1]
