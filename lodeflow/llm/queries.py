@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeflow.llm import history, leaks, pii, secrets
+from lodeflow.llm import history, leaks, pii, secrets, splits
 from lodeflow.session import table
 
 QUERIES: dict = {}
@@ -73,3 +73,26 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted entries with the last_seen that their repeats moved on."""
     return history.link(table(spark, sf_dir, "baseline_entries"))[1]
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.groups(table(spark, sf_dir, "training_examples"), table(spark, sf_dir, "repo_files"))
+
+
+@_query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training examples with the group that must stay together."""
+    return _groups(spark, sf_dir).select("example_id", "group_key")
+
+
+@_query
+def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training examples with their split."""
+    return splits.assign(_groups(spark, sf_dir)).select("example_id", "split")
+
+
+@_query
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and label shares of the splits."""
+    grouped = _groups(spark, sf_dir)
+    return splits.split_report(grouped, splits.assign(grouped))
