@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeflow.llm import history, leaks, pii, secrets, splits
+from lodeflow.llm import history, leaks, packing, pairs, pii, secrets, splits
 from lodeflow.session import table
 
 QUERIES: dict = {}
@@ -96,3 +96,27 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and label shares of the splits."""
     grouped = _groups(spark, sf_dir)
     return splits.split_report(grouped, splits.assign(grouped))
+
+
+@_query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective pairs of prompt and response with their defect."""
+    return pairs.find_defects(table(spark, sf_dir, "llm_responses"))
+
+
+@_query
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by defect."""
+    return pairs.defect_report(p5_found(spark, sf_dir))
+
+
+@_query
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers of 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", "n_tokens")
+
+
+@_query
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and filling of the containers."""
+    return packing.packing_report(p7_pack(spark, sf_dir))

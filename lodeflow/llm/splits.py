@@ -151,7 +151,7 @@ def assign(grouped: DataFrame, shares: dict[str, float] | None = None) -> DataFr
         return rows.sort_values([rare, "n", "group_key"], ascending=[False, False, True]).assign(split=placed)[["group_key", "n", "ones", "zeros", "split"]]
 
     form = "group_key string, n bigint, ones bigint, zeros bigint, split string"
-    heavy = checkpoint(comps.where("heavy").drop("heavy").groupBy(F.lit(1)).applyInPandas(one_by_one, form))
+    heavy = checkpoint(comps.where("heavy").drop("heavy").withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(one_by_one, form))
     light = comps.where("not heavy").drop("heavy")
 
     def left(column: str, key: str, *done: DataFrame) -> dict[str, float]:
