@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("documents",)
+_MODULES = ("documents", "findings", "corpus", "business")
 
 
 def _merged(name: str) -> dict:
