@@ -21,7 +21,8 @@ def _opened_sql(label: str, value: str, embedded: list[str]) -> str:
 def _members_sql(nodes: str, embedded: list[str]) -> str:
     """The nodes one level below an array of nodes, in document order."""
     members = (
-        "transform(map_entries(try_variant_get(n.value, '$', 'map<string,variant>')), (e, i) -> named_struct('node', ltrim('.', n.node || '.' || e.key),"
+        "transform(map_entries(try_variant_get(n.value, '$', 'map<string,variant>')), (e, i) -> named_struct('node', if(n.parent is null, '', n.node || '.')"
+        " || if(e.key rlike '^[^.\\\\[\\\\]]+$', e.key, char(34) || e.key || char(34)),"
         f" 'parent', n.node, 'label', e.key, 'ordinal', i, 'value', {_opened_sql('e.key', 'e.value', embedded)}))"
     )
     items = (
@@ -34,7 +35,8 @@ def _members_sql(nodes: str, embedded: list[str]) -> str:
 def shred(df: DataFrame, keys: list[str], body: str, depth: int = MAX_DEPTH, embedded: list[str] | None = None) -> DataFrame:
     """The adjacency table of JSON documents: keys, node, parent, label, ordinal, kind, scalar.
 
-    ``node`` is the path of a node and unique in its document; ``parent`` points to the node
+    ``node`` is the path of a node and unique in its document (field names that are empty or hold
+    dots or brackets are quoted); ``parent`` points to the node
     that holds it; ``label`` is the field name (array elements carry their array's); ``ordinal`` is
     the place among the siblings; ``kind`` is object, array, null or scalar; ``scalar`` its text.
     Fields named in ``embedded`` may hold their JSON as text, which is then looked into.
