@@ -29,7 +29,7 @@ MERGE, FULL = 64, 0.995
 
 def count_tokens(text: F.Column) -> F.Column:
     """Runs of letters or digits, and every other non-blank character, as one token each."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("int")
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{Z}\x{85}\x{1c}-\x{1f}\p{L}\p{N}]")).cast("int")
 
 
 def segments(df: DataFrame, doc_id: str, text: str, n_tokens: str, limits: Limits, loss: str | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Share of the greatest possible information about a person that a term must give (in a slot, elsewhere).
 DISCLOSURE, DISCLOSURE_ELSEWHERE = 0.6, 0.85
@@ -79,7 +79,7 @@ _BEFORE = (
 SLOT_AFTER = re.compile(_BEFORE + _TITLE + _NAME)
 SLOT_SECOND = re.compile(rf"\G{_SP}(?:and|und|et|y){_SP}".replace(r"\G", "") + _TITLE + _NAME + rf"(?={_SP}on{_SP}the{_SP}call)")
 SLOT_BEFORE = re.compile(rf"(?<![\w,]){_TITLE}" + _NAME + rf"(?={_SP}(?:disagreed|agreed|objected|signed{_SP}off|complained|called{_SP}back){_SP}(?:with|that|to|about){_SP})")
-SHAPED = re.compile(rf"(?<![\w.@/\-])(?P<name>(?:[A-ZÀ-Þ]\.{_SP}){_CAP}|{_CAP},{_SP}{_CAP}|{_CAP}{_SP}(?:[A-ZÀ-Þ]\.{_SP})?{_CAP})(?![\w@/])")
+SHAPED = re.compile(rf"(?<![\w.@/\-])(?=(?P<name>(?:[A-ZÀ-Þ]\.{_SP}){_CAP}|{_CAP},{_SP}{_CAP}|{_CAP}{_SP}(?:[A-ZÀ-Þ]\.{_SP})?{_CAP})(?![\w@/]))")
 _TERM = re.compile(r"(?<![\w@./\-])[^\W\d_]{2,}(?:[-'’][^\W\d_]+)*(?![\w@/])")
 _NO_TERMS = {"dr", "prof", "mr", "mrs", "ms", "herr", "frau"}
 
@@ -185,8 +185,11 @@ def find_pii(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     scores = term_statistics(df, text)
     enough = F.when(F.col("in_slot"), F.col("disclosure") >= DISCLOSURE).otherwise((F.col("disclosure") >= DISCLOSURE_ELSEWHERE) & (F.col("n_slot") >= SUPPORT_ELSEWHERE))
     keys = ["doc_id", "pii_type", "start_char", "end_char"]
-    names = named.join(scores, "term", "left").groupBy(*keys).agg(F.min(F.coalesce(enough, F.lit(False))).alias("ok")).where("ok")
-    return certain.select(*keys).unionByName(names.select(*keys))
+    names = named.join(scores, "term", "left").groupBy(*keys, "in_slot").agg(F.min(F.coalesce(enough, F.lit(False))).alias("ok")).where("ok")
+    # Spans outside slots may overlap one another: of those that do, the first stays.
+    before = F.max("end_char").over(Window.partitionBy("doc_id").orderBy("start_char", "end_char").rowsBetween(Window.unboundedPreceding, -1))
+    free = names.where("not in_slot").withColumn("_before", before).where("_before is null or _before <= start_char")
+    return certain.select(*keys).unionByName(names.where("in_slot").select(*keys)).unionByName(free.select(*keys))
 
 
 def sanitise(df: DataFrame, doc_id: str, text: str, out: str = "sanitised") -> DataFrame:
