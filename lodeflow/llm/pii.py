@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lodeflow.session import written
+
 #: Share of the greatest possible information about a person that a term must give (in a slot, elsewhere).
 DISCLOSURE, DISCLOSURE_ELSEWHERE = 0.6, 0.85
 #: How often a term must stand in a slot before it is believed elsewhere.
@@ -78,7 +80,12 @@ _BEFORE = (
 )
 SLOT_AFTER = re.compile(_BEFORE + _TITLE + _NAME)
 SLOT_SECOND = re.compile(rf"\G{_SP}(?:and|und|et|y){_SP}".replace(r"\G", "") + _TITLE + _NAME + rf"(?={_SP}on{_SP}the{_SP}call)")
-SLOT_BEFORE = re.compile(rf"(?<![\w,]){_TITLE}" + _NAME + rf"(?={_SP}(?:disagreed|agreed|objected|signed{_SP}off|complained|called{_SP}back){_SP}(?:with|that|to|about){_SP})")
+SAID = re.compile(rf"{_SP}(?:disagreed|agreed|objected|signed{_SP}off|complained|called{_SP}back){_SP}(?:with|that|to|about){_SP}")
+NAMED_BEFORE = re.compile(rf"(?<![\w,]){_TITLE}" + _NAME + r"\Z")
+#: Words without which a grammar needn't run: it holds one of them wherever it matches.
+_CUES = ("eported", "pproved", "eviewed", "ssigned", "ritten", "igned", "aised", "iled", "wner", "uthor", "ontact", "eporter", "ssignee", "ontakt", "ustomer", "ttn", "ame", "caller", "employee", "user", "patient", "Kund", "client", "ttention", "dump", "emeldet", "ignalé", "comunicó", "gehört", "--")
+_VERBS = ("greed", "objected", "signed", "complained", "called")
+_AT_SIGNS = ("@", "at)", "at]", "at}", "at )", "at ]", "at }", "at\n", "AT", "ät", "%40", "&#64;")
 SHAPED = re.compile(rf"(?<![\w.@/\-])(?=(?P<name>(?:[A-ZÀ-Þ]\.{_SP}){_CAP}|{_CAP},{_SP}{_CAP}|{_CAP}{_SP}(?:[A-ZÀ-Þ]\.{_SP})?{_CAP})(?![\w@/]))")
 _TERM = re.compile(r"(?<![\w@./\-])[^\W\d_]{2,}(?:[-'’][^\W\d_]+)*(?![\w@/])")
 _NO_TERMS = {"dr", "prof", "mr", "mrs", "ms", "herr", "frau"}
@@ -97,7 +104,7 @@ def entity_spans(text: str) -> list[tuple[str, int, int]]:
         if all(end <= s or start >= e for _, s, e in spans):
             spans.append((kind, start, end))
 
-    for m in EMAIL.finditer(text):
+    for m in EMAIL.finditer(text) if any(a in text for a in _AT_SIGNS) else ():
         if not re.match(SERVICE, m["local"]) and not m["after"] and not re.search(r"\d$", m["host"]):
             add("email", m.start("local"), m.end("host"))
     for m in ADDRESS.finditer(text):
@@ -114,30 +121,35 @@ def entity_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def name_slots(text: str) -> list[tuple[int, int]]:
-    """Name-shaped spans in slots that hold a person."""
+    """Name-shaped spans in slots that hold a person.
+
+    The slot grammars only run where a word of theirs occurs at all.
+    """
     found = []
-    for m in SLOT_AFTER.finditer(text):
-        found.append(m.span("name"))
-        if second := SLOT_SECOND.match(text, m.end("name")):
-            found.append(second.span("name"))
-    found += [m.span("name") for m in SLOT_BEFORE.finditer(text)]
+    if any(a in text for a in _CUES):
+        for m in SLOT_AFTER.finditer(text):
+            found.append(m.span("name"))
+            if second := SLOT_SECOND.match(text, m.end("name")):
+                found.append(second.span("name"))
+    for m in SAID.finditer(text) if any(a in text for a in _VERBS) else ():
+        if named := NAMED_BEFORE.search(text, max(0, m.start() - 120), m.start()):
+            found.append(named.span("name"))
     return found
 
 
-def term_statistics(df: DataFrame, text: str) -> DataFrame:
-    """Per term: its occurrences (n_all), those in person slots (n_slot), and its disclosure score.
+def _scan(df: DataFrame, doc_id: str, text: str, spans: bool) -> DataFrame:
+    """One pass over the documents: found spans with their terms, and term counts summed per batch.
 
-    The score is the pointwise mutual information of term and slot over its greatest
-    possible value: 1 for a term only seen in slots, 0 for one as frequent there as elsewhere.
-    Counted over all documents, summed within each batch before the shuffle.
+    Rows with a null ``term`` are spans, the others counts.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             n_all: dict[str, int] = defaultdict(int)
             n_slot: dict[str, int] = defaultdict(int)
-            for t in batch["text"]:
-                slots = set(name_slots(t))
+            for d, t in zip(batch["doc_id"], batch["text"], strict=True):
+                slots = list(dict.fromkeys(name_slots(t)))
                 covered = bytearray(len(t))
                 for s, e in slots:
                     covered[s:e] = b"\1" * (e - s)
@@ -145,44 +157,53 @@ def term_statistics(df: DataFrame, text: str) -> DataFrame:
                     for term in terms_of(m[0]):
                         n_all[term] += 1
                         n_slot[term] += covered[m.start()]
-            yield pd.DataFrame([(t, n, n_slot[t]) for t, n in n_all.items()], columns=["term", "n_all", "n_slot"])
+                if not spans:
+                    continue
+                entities = entity_spans(t)
+                rows += [(d, kind, s, e, True, [], None, 0, 0) for kind, s, e in entities]
+                taken = [(s, e) for _, s, e in entities]
+                for known, own in ((True, slots), (False, [m.span("name") for m in SHAPED.finditer(t)])):
+                    for s, e in own:
+                        if all(e <= a or s >= b for a, b in taken):
+                            rows.append((d, "name", s, e, known, terms_of(t[s:e]), None, 0, 0))
+                    if known:
+                        taken += slots
+            rows += [(None, None, 0, 0, False, [], term, n, n_slot[term]) for term, n in n_all.items()]
+            yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "start_char", "end_char", "in_slot", "terms", "term", "n_all", "n_slot"]).astype({"doc_id": object})
 
-    rows = df.where(F.length(F.col(text)) > 0).select(F.col(text).alias("text"))
-    terms = rows.mapInPandas(count, "term string, n_all bigint, n_slot bigint").groupBy("term").agg(F.sum("n_all").alias("n_all"), F.sum("n_slot").alias("n_slot"))
+    docs = df.where(F.length(F.col(text)) > 0).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.mapInPandas(scan, f"doc_id {kind}, pii_type string, start_char int, end_char int, in_slot boolean, terms array<string>, term string, n_all bigint, n_slot bigint")
+
+
+def _scores(scanned: DataFrame) -> DataFrame:
+    terms = scanned.where("term is not null").groupBy("term").agg(F.sum("n_all").alias("n_all"), F.sum("n_slot").alias("n_slot"))
     total = terms.agg((F.sum("n_slot") / F.sum("n_all")).alias("p0"))
     scored = terms.where("n_slot > 0").crossJoin(F.broadcast(total))  # one row
     return scored.select("term", "n_all", "n_slot", (F.log2(F.col("n_slot") / F.col("n_all") / F.col("p0")) / -F.log2("p0")).alias("disclosure"))
 
 
+def term_statistics(df: DataFrame, text: str) -> DataFrame:
+    """Per term: its occurrences (n_all), those in person slots (n_slot), and its disclosure score.
+
+    The score is the pointwise mutual information of term and slot over its greatest
+    possible value: 1 for a term only seen in slots, 0 for one as frequent there as elsewhere.
+    Counted over all documents, summed within each batch before the shuffle.
+    """
+    return _scores(_scan(df.withColumn("_doc", F.lit(None).cast("long")), "_doc", text, False))
+
+
 def find_pii(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row per item: doc_id, pii_type, start_char, end_char (characters from 0, end exclusive).
 
     Null and empty texts give no rows. Spans of one document don't overlap.
     """
 
-    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for d, t in zip(batch["doc_id"], batch["text"], strict=True):
-                entities = entity_spans(t)
-                rows += [(d, kind, s, e, True, []) for kind, s, e in entities]
-                taken = [(s, e) for _, s, e in entities]
-                slots = list(dict.fromkeys(name_slots(t)))
-                shaped = [m.span("name") for m in SHAPED.finditer(t)]
-                for known, own in ((True, slots), (False, shaped)):
-                    for s, e in own:
-                        if all(e <= a or s >= b for a, b in taken):
-                            rows.append((d, "name", s, e, known, terms_of(t[s:e])))
-                    if known:
-                        taken += slots
-            yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "start_char", "end_char", "in_slot", "terms"])
-
-    docs = df.where(F.length(F.col(text)) > 0).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(docs.dtypes)["doc_id"]
-    found = docs.mapInPandas(spans, f"doc_id {kind}, pii_type string, start_char int, end_char int, in_slot boolean, terms array<string>")
+    scanned = written(_scan(df, doc_id, text, True), "pii")
+    found = scanned.where("term is null").drop("term", "n_all", "n_slot")
     certain = found.where("pii_type != 'name'")
     named = found.where("pii_type = 'name' and size(terms) > 0").select("*", F.explode(F.array_distinct("terms")).alias("term"))
-    scores = term_statistics(df, text)
+    scores = _scores(scanned)
     enough = F.when(F.col("in_slot"), F.col("disclosure") >= DISCLOSURE).otherwise((F.col("disclosure") >= DISCLOSURE_ELSEWHERE) & (F.col("n_slot") >= SUPPORT_ELSEWHERE))
     keys = ["doc_id", "pii_type", "start_char", "end_char"]
     names = named.join(scores, "term", "left").groupBy(*keys, "in_slot").agg(F.min(F.coalesce(enough, F.lit(False))).alias("ok")).where("ok")
