@@ -22,9 +22,11 @@ class Limits:
 
 
 #: Tokens and segments that one task packs at a time; a shard wastes at most one container's room.
-SHARD_TOKENS, SHARD_SEGMENTS = 2_000_000, 100_000
+SHARD_TOKENS, SHARD_SEGMENTS = 1_000_000, 50_000
 #: How many shards' unfinished containers are packed again together; from which filling on a container is finished.
 MERGE, FULL = 64, 0.995
+#: Most partitions that shards are spread over; beyond, a task packs several shards one after the other.
+MAX_PARTITIONS = 20_000
 
 
 def count_tokens(text: F.Column) -> F.Column:
@@ -136,7 +138,9 @@ def pack(df: DataFrame, doc_id: str, text: str, n_tokens: str, limits: Limits |
         last = shards == 1
 
         sharded = rest.select("doc_id", "token_start", "token_end", "loss_tokens", F.pmod(F.xxhash64("doc_id", "token_start", F.lit(level)), F.lit(shards)).alias("shard"))
-        packed = written(sharded.groupBy("shard").applyInPandas(_packer(limits, level, last), form), "packed")
+        # A stated number of partitions: small shards would otherwise be merged into one task.
+        spread = sharded.repartition(min(4 * shards, MAX_PARTITIONS), "shard")
+        packed = written(spread.groupBy("shard").applyInPandas(_packer(limits, level, last), form), "packed")
         done.append(packed.where("done").select("level", "shard", "number", "doc_id", "token_start", "token_end"))
         if last:
             break
