@@ -85,3 +85,35 @@ def propagate(labelled: DataFrame, edges: DataFrame, transitive: bool = False) -
         if front.isEmpty():
             return new
         known = checkpoint(known.unionByName(front))
+
+
+def reachable(starts: DataFrame, edges: DataFrame, depth: int, blocked: DataFrame | None = None) -> DataFrame:
+    """start, node, hops: what each start reaches in at most ``depth`` hops, by the shortest way.
+
+    No path goes through a blocked node (a sanitizer), nor ends in one. Starts don't reach
+    themselves by no hop; on a cycle they do.
+    """
+    e = edges.select("src", "dst").distinct()
+    if blocked is not None:
+        wall = blocked.select(F.col("node").alias("dst")).distinct()
+        e = e.join(wall, "dst", "left_anti").select("src", "dst")
+    e = checkpoint(e)
+    front = starts.select(F.col("node").alias("start"), "node").distinct()
+    known = None
+    for hop in range(1, depth + 1):
+        step = front.select("start", F.col("node").alias("src")).join(e, "src").select("start", F.col("dst").alias("node")).distinct()
+        if known is not None:
+            step = step.join(known, ["start", "node"], "left_anti")
+        front = checkpoint(step.withColumn("hops", F.lit(hop)))
+        known = front if known is None else known.unionByName(front)
+        if front.isEmpty():
+            break
+    return known
+
+
+def sanitized_paths(starts: DataFrame, ends: DataFrame, edges: DataFrame, sanitizers: DataFrame, depth: int) -> DataFrame:
+    """start, node, is_sanitized for each reached end: true if every way passes a sanitizer."""
+    targets = ends.select("node").distinct()
+    any_way = reachable(starts, edges, depth).join(targets, "node", "left_semi").select("start", "node")
+    clean_way = reachable(starts, edges, depth, sanitizers).select("start", "node", F.lit(True).alias("_open"))
+    return any_way.join(clean_way, ["start", "node"], "left").select("start", "node", F.col("_open").isNull().alias("is_sanitized"))

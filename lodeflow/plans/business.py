@@ -192,3 +192,26 @@ def last_view_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dearest part of each brand and type."""
     return flows.keep_first(table(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey", "p_retailprice"), ["p_brand", "p_type"], [F.desc("p_retailprice"), "p_partkey"])
+
+
+_REACH = "with recursive e as materialized ({edges}), t as (select n_nationkey as start, dst as node, 1 as hops from nation join e on n_nationkey = src where n_regionkey = 2 and {free} union select t.start, e.dst, hops + 1 from t join e on t.node = e.src where hops < 3 and {free}) "
+
+
+@_query(_REACH.format(edges=_TRADE + _SPARSE, free="dst % 5 <> 0") + "select start, node, min(hops)::INT as hops from t group by 1, 2")
+def bounded_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nations of a region reach in three hops that avoid blocked nations."""
+    n = nations(spark, sf_dir)
+    starts = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("node"))
+    return graphs.reachable(starts, trade(spark, sf_dir, True), 3, n.where("node % 5 = 0"))
+
+
+@_query(
+    _REACH.format(edges=_TRADE + _SPARSE, free="true").replace("t as (", "a as (", 1).replace("from t join e on t.node", "from a t join e on t.node")
+    + ", b as (select n_nationkey as start, dst as node, 1 as hops from nation join e on n_nationkey = src where n_regionkey = 2 and dst % 5 <> 0 union select t.start, e.dst, hops + 1 from b t join e on t.node = e.src where hops < 3 and dst % 5 <> 0) "
+    "select distinct a.start, a.node, not exists (select 1 from b where b.start = a.start and b.node = a.node) as is_sanitized from a where a.node % 2 = 1"
+)
+def sanitized_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all ways of three hops to the odd nations pass a blocked one."""
+    n = nations(spark, sf_dir)
+    starts = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("node"))
+    return graphs.sanitized_paths(starts, n.where("node % 2 = 1"), trade(spark, sf_dir, True), n.where("node % 5 = 0"), 3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeflow.functions import scalars as fn
-from lodeflow.operators import baselines, flows, tables, text
+from lodeflow.operators import baselines, feedback, flows, reports, tables, text
 from lodeflow.session import table
 
 QUERIES: dict = {}
@@ -300,3 +300,25 @@ def report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = F.struct(F.col("id").alias("o"), F.struct(F.col("vulnerability_type").alias("ruleId"), level.alias("level"), F.col("title").alias("message"), place.alias("location")).alias("r"))
     grouped = f.groupBy("scan_id").agg(F.sort_array(F.collect_list(result)).alias("rs"), F.array_sort(F.collect_set("vulnerability_type")).alias("rules"), F.array_sort(F.collect_set("sink.file_path")).alias("artifacts"))
     return grouped.select("scan_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), "rules", F.transform("rs", lambda x: x["r"]).alias("results"), "artifacts")).alias("report"))
+
+
+_CALL = "list_filter(regexp_extract_all(coalesce(code_snippet, ''), '(\\w+)\\s*\\(', 1), lambda n: n not in (" + ", ".join(f"'{w}'" for w in feedback.NO_CALLS) + "))"
+
+
+@_query(
+    f"with h as (select id as finding_id, verification.confidence * 0.9::DOUBLE as confidence from {_F} where verification.verdict = 'false_positive' and verification.confidence >= 0.5::DOUBLE), "
+    f"n as (select s.finding_id, s.step_id, s.line, h.confidence, coalesce({_CALL}[1], 'sanitizer_line_' || s.line::VARCHAR) as method from {_S} s join h on s.finding_id = h.finding_id where lower(trim(s.step_type)) = 'sanitizer' and s.line is not null) "
+    "select method, line, round(confidence, 6) as confidence, finding_id from (select *, row_number() over (partition by method, line order by finding_id, step_id) as rn from n) where rn = 1"
+)
+def learned_sanitizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sanitizers read from the traces of false positives."""
+    return feedback.learned_sanitizers(findings(spark, sf_dir), steps(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+@_query(
+    f"with c as (select lower(severity) as severity, count(*) as n, count(*) filter (where verification.verdict = 'false_positive') as w from {_F} group by 1) "
+    "select s.severity, coalesce(n, 0)::BIGINT as n, coalesce(w, 0)::BIGINT as n_false_positive from (values " + ", ".join(f"('{s}')" for s in fn.SEVERITIES) + ") s(severity) left join c on s.severity = c.severity"
+)
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head of a report: findings by severity, all five listed."""
+    return reports.summary(findings(spark, sf_dir))
