@@ -1,9 +1,9 @@
 """Deduplicating new batches against all accepted history: incremental record linkage.
 
 Accepted entries live in a persisted blocking-key table. A batch probes it by its own keys only;
-candidate pairs are scored with field weights learned from the data and verified exactly. Entries of a
-batch that repeat each other are settled by rounds of local minima, and only clusters that
-the batch touches get new representatives and a new last_seen.
+candidate pairs are verified by the exact rule, and where several accepted entries remain, field weights
+learned from the data choose the best. Entries of a batch that repeat each other are settled by
+rounds of local minima, and only clusters that the batch touches get a new last_seen.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodeflow.session import checkpoint, written
 
-#: Compared fields, and the score in bits above which a candidate pair is verified.
-FIELDS, MIN_SCORE = ("fp", "vt", "base", "src", "snk"), 0.0
+#: Compared fields.
+FIELDS = ("fp", "vt", "base", "src", "snk")
 
 
 def bare_method(c: F.Column) -> F.Column:
@@ -95,17 +95,26 @@ def _verified(left: str, right: str) -> F.Column:
     return F.coalesce(F.col(f"{left}fp") == F.col(f"{right}fp"), F.lit(False)) | same_fields
 
 
+def _best(pairs: DataFrame, weights: dict[str, tuple[float, float]]) -> DataFrame:
+    """Of the verified candidate pairs of each entry the best-scored, the earliest among equals.
+
+    ``pairs`` has an entry's fields and a struct ``kept`` (batch_no, entry_id and the fields).
+    """
+    ranked = F.struct(F.round(-score(weights, "", "kept."), 6).alias("loss"), F.col("kept.batch_no").alias("b"), F.col("kept.entry_id").alias("kept_entry_id"))
+    best = pairs.where(_verified("", "kept.")).groupBy("entry_id").agg(F.min(ranked).alias("k"))
+    return best.select("entry_id", "k.kept_entry_id")
+
+
 def probe(batch: DataFrame, index: DataFrame, weights: dict[str, tuple[float, float]]) -> DataFrame:
-    """Entries of a batch that repeat an accepted entry: entry_id, kept_entry_id (the earliest).
+    """Entries of a batch that repeat an accepted entry: entry_id, kept_entry_id (the best-scored).
 
     Only rows of the batch and the index rows under its keys meet; the index side is unique by key.
     """
     keyed = batch.select("entry_id", *FIELDS, F.explode(F.array_compact(F.array("k_fp", "k_fields"))).alias("key"))
-    pairs = keyed.join(index, "key").where((score(weights, "", "kept.") > MIN_SCORE) | _verified("", "kept.")).where(_verified("", "kept."))
-    return pairs.groupBy("entry_id").agg(F.min(F.struct("kept.batch_no", "kept.entry_id")).alias("k")).select("entry_id", F.col("k.entry_id").alias("kept_entry_id"))
+    return _best(keyed.join(index, "key"), weights)
 
 
-def settle(fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+def settle(fresh: DataFrame, weights: dict[str, tuple[float, float]]) -> tuple[DataFrame, DataFrame]:
     """Repeats within a batch, by arrival: the rows (kept, dup) and the entries that become accepted.
 
     Each round accepts every undecided entry that is the earliest open one under all its keys, and
@@ -123,15 +132,10 @@ def settle(fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
         marked = checkpoint(open_rows.join(ahead, "entry_id", "left").withColumn("behind", F.coalesce("behind", F.lit(False))))
         now = marked.where("not behind and status != 'resolved'")
         accepted.append(now.drop("earliest", "behind"))
-        kept = now.select(F.col("entry_id").alias("kept_entry_id"), F.explode(F.array_compact(F.array("k_fp", "k_fields"))).alias("key"))
+        kept = now.select(F.struct("batch_no", "entry_id", *FIELDS).alias("kept"), F.explode(F.array_compact(F.array("k_fp", "k_fields"))).alias("key"))
         waiting = marked.where("behind").drop("earliest", "behind")
-        matched = (
-            waiting.select("entry_id", F.explode(F.array_compact(F.array("k_fp", "k_fields"))).alias("key"))
-            .join(kept, "key")
-            .where("kept_entry_id < entry_id")
-            .groupBy("entry_id")
-            .agg(F.min("kept_entry_id").alias("kept_entry_id"))
-        )
+        keyed = waiting.select("entry_id", *FIELDS, F.explode(F.array_compact(F.array("k_fp", "k_fields"))).alias("key"))
+        matched = _best(keyed.join(kept, "key").where("kept.entry_id < entry_id"), weights)
         matched = checkpoint(matched)
         pairs.append(matched)
         open_rows = checkpoint(waiting.join(matched, "entry_id", "left_anti"))
@@ -162,7 +166,7 @@ def link(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     for number in batches:
         batch = keyed.where(F.col("batch_no") == number)
         repeats = written(probe(batch, index, weights), "repeats")
-        within, new = settle(batch.join(repeats, "entry_id", "left_anti"))
+        within, new = settle(batch.join(repeats, "entry_id", "left_anti"), weights)
         found = repeats.select("kept_entry_id", "entry_id").unionByName(within.select("kept_entry_id", "entry_id"))
         links = found if links is None else links.unionByName(found)
         # The index grows by the batch's own keys; what is there is not written again.
