@@ -11,9 +11,15 @@ CONCATENATION = r"""\+\s*["']|["']\s*\+|\+\s*\w+\s*\+|\.concat\(|%\s|\.format\("
 SANITIZERS = r"(?i)\b(?:escape|sanitize|encodeURIComponent|parseInt|parameterize|quote|htmlspecialchars|bleach|validator)\w*\s*\("
 QUIET_SINKS = ("log", "debug", "info", "warn", "error", "trace", "console", "print", "logger", "assert", "test", "mock", "spy")
 QUIET_SOURCES = ("process.env", "config", "constant", "default", "static")
-PATH_SINKS = ("readfile", "writefile", "createreadstream", "createwritestream", "unlink", "rmdir", "stat", "access", "open", "fs.", "path.join", "path.resolve", "sendfile", "download", "serve", "static")
+PATH_SINKS = (
+    "readfile", "readfilesync", "writefile", "writefilesync", "createreadstream", "createwritestream", "unlink", "rmdir", "stat", "access", "open", "fs.", "path.join", "path.resolve", "sendfile", "download", "serve",
+    "static",
+)
 PATH_SOURCES = ("req.params", "req.query", "req.body", "filename", "filepath", "path", "file", "dir", "directory", "folder")
-MARKUP_SINKS = ("innerhtml", "outerhtml", "document.write", "insertadjacenthtml", "bypasssecuritytrust", "res.send", "res.write", "render", "dangerouslysetinnerhtml", "v-html")
+MARKUP_SINKS = (
+    "innerhtml", "outerhtml", "document.write", "document.writeln", "insertadjacenthtml", "bypasssecuritytrusthtml", "bypasssecuritytrustscript", "bypasssecuritytrusturl", "res.send", "res.write", "render",
+    "dangerouslysetinnerhtml", "v-html",
+)
 MARKUP_SOURCES = ("req.query", "req.body", "req.params", "userinput", "search", "query", "message", "comment", "name", "title", "content")
 CRITICAL, MILD = ("CWE-78", "CWE-94", "CWE-502"), ("CWE-20", "CWE-200")
 

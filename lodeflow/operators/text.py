@@ -51,3 +51,24 @@ def called_names(text: Column, stop: tuple[str, ...]) -> Column:
     """Names before an opening bracket, in order, without the stop words; null gives an empty array."""
     names = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\w+)\s*\("), F.lit(1))
     return F.filter(names, lambda n: ~n.isin(*stop))
+
+
+def numbered(line: Column, code: Column) -> Column:
+    """A line as it stands in a context: its number in four places, a bar, its text."""
+    return F.concat(F.lpad(line.cast("string"), 4, " "), F.lit("| "), code)
+
+
+def function_source(df: DataFrame, key: str, code: str, most: int = 50) -> DataFrame:
+    """key, source, n_lines: the first function of a text.
+
+    From its header line up to the next line that is indented no more and begins a definition, class
+    or decorator, at most ``most`` lines. Row-local; texts without a header give no row.
+    """
+    head = r"^\\s*(?:async +)?(?:def|class|function)\\b"
+    stop = r"^\\s*(?:async +)?(?:def |class |@|function )"
+    rows = df.withColumn("_l", F.split(F.col(code), "\n")).withColumn("_from", F.expr(f"array_position(transform(_l, l -> l rlike '{head}'), true)")).where("_from > 0")
+    indent = "length(regexp_extract({l}, '^( *)', 1))"
+    rest = rows.withColumn("_tail", F.expr(f"slice(_l, cast(_from as int), {most})"))
+    ends = F.expr(f"array_position(transform(_tail, (l, i) -> i > 0 and {indent.format(l='l')} <= {indent.format(l='_tail[0]')} and l rlike '{stop}'), true)")
+    taken = rest.withColumn("_to", ends).withColumn("_own", F.expr("if(_to > 0, slice(_tail, 1, cast(_to - 1 as int)), _tail)"))
+    return taken.select(key, F.array_join("_own", "\n").alias("source"), F.size("_own").alias("n_lines"))

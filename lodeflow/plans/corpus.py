@@ -310,3 +310,47 @@ def feedback_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uncertain candidates asked up to three times."""
     unsure = _decided(spark, sf_dir).where("decision = 'uncertain'")
     return provider.feedback(unsure, "example_id", "code_context")
+
+
+@_query(
+    f"with l as {_LINES}, a as (select doc_id, min(line) as hit from l where regexp_matches(code, 'CWE-22') group by 1) "
+    "select l.doc_id, string_agg(lpad(line::VARCHAR, 4, ' ') || '| ' || code, chr(10) order by line) as rendered from l join a on l.doc_id = a.doc_id and l.line between hit - 1 and hit + 1 group by 1"
+)
+def context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered lines around the first mention of a weakness."""
+    cut = text.slice_around(table(spark, sf_dir, "documents"), "doc_id", "text", "CWE-22", 1)
+    return text.rendered(cut, ["doc_id"], "line", text.numbered(F.col("line"), F.col("code")))
+
+
+@_query()
+def function_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first function of each code context."""
+    return text.function_source(examples(spark, sf_dir), "example_id", "code_context")
+
+
+@_query(
+    f"select path as id, path || ' (' || coalesce(lower(language), 'unknown') || '): ' || array_to_string(coalesce(exports, [])[1:10], ' ') as content from {_R}"
+)
+def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts under which files are put into a vector index: path, language, first exports."""
+    names = F.array_join(F.slice(F.coalesce("exports", F.array().cast("array<string>")), 1, 10), " ")
+    return files(spark, sf_dir).select(F.col("path").alias("id"), F.concat(F.col("path"), F.lit(" ("), F.coalesce(F.lower("language"), F.lit("unknown")), F.lit("): "), names).alias("content"))
+
+
+@_query(
+    f"with c as (select sha256(prompt) as key, content, created_at, call_id, max(created_at) over () as newest from {_L} where prompt is not null) select key, call_id from (select *, row_number() over (partition by key order by created_at desc, call_id desc) as rn from c where created_at >= newest - interval '30 days') where rn = 1"
+)
+def answer_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest answer of each prompt that is at most thirty days older than the newest call."""
+    calls = table(spark, sf_dir, "llm_responses").dropDuplicates(["call_id"]).where("prompt is not null")
+    newest = calls.agg(F.max("created_at").alias("newest"))
+    fresh = calls.crossJoin(F.broadcast(newest)).where("created_at >= newest - interval 30 days")  # one row
+    return flows.keep_first(fresh.select(F.sha2("prompt", 256).alias("key"), "call_id", "created_at"), ["key"], [F.desc("created_at"), F.desc("call_id")]).select("key", "call_id")
+
+
+@_query()
+def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training examples as JSON lines: text, label and features."""
+    e = examples(spark, sf_dir)
+    body = F.concat_ws("\n", F.concat(F.lit("source: "), F.col("source_expression")), F.concat(F.lit("sink: "), F.col("sink_expression")), F.col("code_context"))
+    return e.select("example_id", F.to_json(F.struct(body.alias("text"), "label", "source_type", "sink_type", "cwe_types", "distance_lines", "in_same_function", "uses_template_literal")).alias("line"))

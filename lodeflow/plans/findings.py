@@ -322,3 +322,36 @@ def learned_sanitizers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The head of a report: findings by severity, all five listed."""
     return reports.summary(findings(spark, sf_dir))
+
+
+@_query(
+    f"with s as (select finding_id, file_path, min(line) as lo, max(line) as hi, count(distinct line) as n from {_S} where file_path is not null and line is not null group by 1, 2) "
+    "select finding_id, file_path, lo::INT as first_line, hi::INT as last_line, n::BIGINT as n_slice, round((1 - n::DOUBLE / (hi - lo + 1)) * 100, 4) as reduction from s"
+)
+def slice_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the lines between the first and last step of a trace in a file its slice leaves out."""
+    s = steps(spark, sf_dir).where("file_path is not null and line is not null").groupBy("finding_id", "file_path")
+    own = s.agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count_distinct("line").alias("n_slice"))
+    ratio = (1 - F.col("n_slice") / (F.col("last_line") - F.col("first_line") + 1)) * 100
+    return own.withColumn("reduction", F.round(ratio, 4))
+
+
+@_query(
+    "select id, " + "case vulnerability_type " + " ".join(f"when '{k}' then '{v}'" for k, v in fn.WEAKNESSES.items()) + " else 'Unknown (' || vulnerability_type || ')' end"
+    " || ' from ' || substr(coalesce(source.method, '?'), 1, 30) || ' to ' || substr(coalesce(sink.method, '?'), 1, 30) as title, "
+    f"coalesce(sink.file_path, source.file_path, '?') || ':' || coalesce(coalesce(sink.line, source.line)::VARCHAR, '?') as place from {_F} where vulnerability_type is not null"
+)
+def finding_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and places of findings as reports show them."""
+    f = findings(spark, sf_dir).where("vulnerability_type is not null")
+    short = lambda c: F.substring(F.coalesce(F.col(c), F.lit("?")), 1, 30)
+    title = F.concat(fn.described(F.col("vulnerability_type")), F.lit(" from "), short("source.method"), F.lit(" to "), short("sink.method"))
+    place = F.concat(F.coalesce("sink.file_path", "source.file_path", F.lit("?")), F.lit(":"), F.coalesce(F.coalesce("sink.line", "source.line").cast("string"), F.lit("?")))
+    return f.select("id", title.alias("title"), place.alias("place"))
+
+
+@_query(f"select finding_id, step_id as first_sink from (select *, row_number() over (partition by finding_id order by step_no nulls first, step_id) as rn from {_S} where lower(trim(step_type)) = 'sink') where rn = 1")
+def first_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sink step of each trace."""
+    s = steps(spark, sf_dir).where(F.lower(F.trim("step_type")) == "sink")
+    return s.groupBy("finding_id").agg(F.min_by("step_id", F.struct("step_no", "step_id")).alias("first_sink"))

@@ -273,3 +273,20 @@ def test_windows(spark):
     e = spark.createDataFrame(rows, "user string, ts timestamp, value double")
     assert values(windows.sessions(e, "ts", "user", "6 hours"), "user", "n") == [("u", 1), ("u", 2), ("v", 1)]
     assert values(windows.tumbling(e, "ts", "user", "1 day"), "user", "n", "total") == sorted([("u", 2, 3.0), ("u", 1, 4.0), ("v", 1, None)], key=repr)
+
+
+def test_versions(spark, tmp_path):
+    from lodeflow.sources import versions as v
+
+    path, schema = str(tmp_path / "specs"), "method string, label string, confidence double"
+    assert v.read_latest(spark, path, schema).count() == 0
+    first = spark.createDataFrame([("f", "source", 0.9), ("g", "sink", None)], schema)
+    assert v.write_version(first, path) == 1
+    assert v.merge_version(spark.createDataFrame([("f", "source", 0.1), ("h", "sink", 0.5)], schema), path, schema, ["method", "label"]) == 2
+    assert values(v.read_latest(spark, path, schema)) == sorted([("f", "source", 0.9), ("g", "sink", None), ("h", "sink", 0.5)], key=repr)
+    assert v.versions(spark, path) == [1, 2]
+
+
+def test_function_source(spark):
+    df = spark.createDataFrame([(1, "x\ndef f():\n    a\n    def g(): pass\n\n  \ndef h():\n  b"), (2, "x = 1"), (3, None), (4, "  def f():\n    " + "a\n    " * 80)], "k int, t string")
+    assert values(text.function_source(df, "k", "t"), "k", "n_lines") == [(1, 5), (4, 50)]
