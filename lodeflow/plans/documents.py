@@ -34,6 +34,30 @@ def p1_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift_report(p1_found(spark, sf_dir))
 
 
+_FINDINGS = (
+    "with r as (select distinct report_id, regexp_replace(body, '^[\\x{FEFF}\\s]+', '') as b from cerberus_results), v as (select report_id, b::JSON as j from r where json_valid(b)), "
+    "n as (select report_id, j, unnest(range(json_array_length(j, '$.findings')::BIGINT)) as i from v where json_type(j, '$.findings') = 'ARRAY'), "
+    "f as (select report_id, i::INT as finding_no, json_extract(j, '$.findings[' || i || ']') as x from n) "
+)
+_END = (
+    "select report_id, finding_no, '{0}' as node, 0 as node_no, coalesce(case json_type(x, '$.{0}') when 'VARCHAR' then json_extract_string(x, '$.{0}') when 'ARRAY' then json_extract_string(x, '$.{0}[0].method') "
+    "else json_extract_string(x, '$.{0}.method') end, '') as name from f where json_type(x, '$.{0}') in ('OBJECT', 'VARCHAR') or json_type(x, '$.{0}[0]') in ('OBJECT', 'VARCHAR')"
+)
+ORACLE["p2_found"] = (
+    _FINDINGS
+    + _END.format("source")
+    + " union all "
+    + _END.format("sink")
+    + " union all select report_id, finding_no, 'step', k::INT, coalesce(json_extract_string(t, '$[' || k || '].step_type'), '') from (select report_id, finding_no, t, unnest(range(json_array_length(t)::BIGINT)) as k from "
+    "(select report_id, finding_no, case json_type(x, '$.trace') when 'VARCHAR' then json_extract_string(x, '$.trace')::JSON when 'OBJECT' then json_array(json_extract(x, '$.trace')) else json_extract(x, '$.trace') end as t "
+    "from f where json_type(x, '$.trace') in ('VARCHAR', 'OBJECT', 'ARRAY'))) where json_type(t, '$[' || k || ']') = 'OBJECT'"
+)
+ORACLE["p2_findings"] = _FINDINGS + (
+    "select report_id, finding_no, json_extract_string(x, '$.id') as finding_id, json_extract_string(x, '$.vulnerability_type') as vulnerability_type, json_extract_string(x, '$.severity') as severity, "
+    "json_extract_string(x, '$.description') as description from f where json_type(x) = 'OBJECT'"
+)
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.shred(table(spark, sf_dir, "cerberus_results"), ["report_id"], "body", embedded=shred.EMBEDDED)
 
