@@ -120,3 +120,24 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and filling of the containers."""
     return packing.packing_report(p7_pack(spark, sf_dir))
+
+
+_CLEAN = "regexp_replace(trim(file_path), '\\\\', '/', 'g')"
+_CLEAN = f"regexp_replace({_CLEAN}, '^([A-Za-z][A-Za-z0-9+.-]+:/+|[A-Za-z]:/*)', '/')"
+_CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, '/+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g')"
+for _ in range(4):
+    _CLEAN = f"regexp_replace({_CLEAN}, '(^|/)[^/.][^/]*/\\.\\./', '\\1')"
+ORACLE["p4_found"] = (
+    f"with recursive e as (select distinct on (example_id) example_id, string_split(ltrim({_CLEAN}, '/'), '/') as parts, "
+    "nullif(regexp_replace(regexp_replace(code_context, '(?m)^[ \\t]*(?:#|//|/\\*[^\\n]*\\*/[ \\t]*$)[^\\n]*$', '', 'g'), '\\s+', '', 'g'), '') as code from training_examples order by example_id), "
+    "s as (select example_id, i, array_to_string(parts[i:], '/') as path from (select example_id, parts, unnest(range(1, len(parts) + 1)) as i from e)), "
+    "m as (select example_id, arg_min(s.path, i) as path from s join (select distinct path from repo_files) f on s.path = f.path group by 1), "
+    "x as (select e.example_id, m.path, e.code from e left join m on e.example_id = m.example_id), "
+    "c as (select distinct path, code from x where path is not null and code is not null), "
+    "l as (select distinct a.path as p, b.path as q from c a join c b on a.code = b.code and a.path <> b.path), "
+    "r as (select p, q from l union select r.p, l.q from r join l on r.q = l.p), "
+    "k as (select p as path, least(p, min(q)) as key from r group by p), "
+    "y as (select x.*, coalesce(k.key, x.path) as path_key from x left join k on x.path = k.path), "
+    "z as (select code, min(path_key) as code_path, min(example_id) as code_first from y where code is not null group by 1) "
+    "select y.example_id, coalesce(path_key, code_path, 'example:' || coalesce(code_first, y.example_id)) as group_key from y left join z on y.code = z.code"
+)
