@@ -8,6 +8,7 @@ rounds of local minima, and only clusters that the batch touches get a new last_
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log2
 
 from pyspark.sql import DataFrame, functions as F
@@ -16,6 +17,8 @@ from lodeflow.session import checkpoint, written
 
 #: Compared fields.
 FIELDS = ("fp", "vt", "base", "src", "snk")
+#: A batch of at most so many keys is sent to the index, which is then scanned but not shuffled.
+BROADCAST_KEYS = 200_000
 
 
 def bare_method(c: F.Column) -> F.Column:
@@ -65,8 +68,9 @@ def learned_weights(entries: DataFrame) -> dict[str, tuple[float, float]]:
     if total < 2:
         return {f: (1.0, -1.0) for f in FIELDS}
     weights = {}
-    counted = [entries.groupBy(f).agg(F.count("*").cast("double").alias("n")).agg(F.sum((F.col("n") / total) ** 2).alias(f)) for f in FIELDS]
-    u = {f: r[f] or 0.0 for f, r in ((f, c.first()) for f, c in zip(FIELDS, counted, strict=True))}
+    pieces = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS))
+    counts = entries.select(F.explode(pieces).alias("p")).groupBy("p").agg(F.count("*").cast("double").alias("n"))
+    u = {r["field"]: r["u"] for r in counts.groupBy("p.field").agg(F.sum((F.col("n") / total) ** 2).alias("u")).collect()}
     firsts = entries.where("k_fp is not null").groupBy("k_fp").agg(F.min(F.struct("entry_id", *FIELDS)).alias("a"))
     pairs = entries.join(firsts, "k_fp").where("entry_id != a.entry_id")
     agree = pairs.agg(F.count("*").alias("n"), *(F.avg((F.col(f).eqNullSafe(F.col(f"a.{f}"))).cast("double")).alias(f) for f in FIELDS)).first()
@@ -109,8 +113,12 @@ def probe(batch: DataFrame, index: DataFrame, weights: dict[str, tuple[float, fl
     """Entries of a batch that repeat an accepted entry: entry_id, kept_entry_id (the best-scored).
 
     Only rows of the batch and the index rows under its keys meet; the index side is unique by key.
+    The keys of a batch are counted: few are broadcast, so that history stays where it is; many
+    are joined by a shuffle.
     """
     keyed = batch.select("entry_id", *FIELDS, F.explode(F.array_compact(F.array("k_fp", "k_fields"))).alias("key"))
+    if keyed.count() <= BROADCAST_KEYS:
+        keyed = F.broadcast(keyed)
     return _best(keyed.join(index, "key"), weights)
 
 
@@ -134,18 +142,17 @@ def settle(fresh: DataFrame, weights: dict[str, tuple[float, float]]) -> tuple[D
         accepted.append(now.drop("earliest", "behind"))
         kept = now.select(F.struct("batch_no", "entry_id", *FIELDS).alias("kept"), F.explode(F.array_compact(F.array("k_fp", "k_fields"))).alias("key"))
         waiting = marked.where("behind").drop("earliest", "behind")
+        if waiting.isEmpty():
+            break
         keyed = waiting.select("entry_id", *FIELDS, F.explode(F.array_compact(F.array("k_fp", "k_fields"))).alias("key"))
         matched = _best(keyed.join(kept, "key").where("kept.entry_id < entry_id"), weights)
         matched = checkpoint(matched)
         pairs.append(matched)
-        open_rows = checkpoint(waiting.join(matched, "entry_id", "left_anti"))
+        open_rows = waiting.join(matched, "entry_id", "left_anti")
         if open_rows.isEmpty():
             break
-    every_pair = pairs[0]
-    every_accepted = accepted[0]
-    for p, a in zip(pairs[1:], accepted[1:], strict=True):
-        every_pair, every_accepted = every_pair.unionByName(p), every_accepted.unionByName(a)
-    return every_pair, every_accepted
+    found = pairs or [fresh.select("entry_id", F.col("entry_id").alias("kept_entry_id")).limit(0)]
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, accepted)
 
 
 def link(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
