@@ -18,8 +18,10 @@ def _opened_sql(label: str, value: str, embedded: list[str]) -> str:
     return f"coalesce(if({label} in ({names}) and {text} rlike '^\\\\s*[\\\\[{{]', try_parse_json({text}), null), {value})"
 
 
-def _members_sql(nodes: str, embedded: list[str]) -> str:
+def _members_sql(nodes: str, embedded: list[str], skip: list[str]) -> str:
     """The nodes one level below an array of nodes, in document order."""
+    if skip:
+        nodes = f"filter({nodes}, n -> n.label not in (" + ", ".join(f"'{x}'" for x in skip) + "))"
     members = (
         "transform(map_entries(try_variant_get(n.value, '$', 'map<string,variant>')), (e, i) -> named_struct('node', if(n.parent is null, '', n.node || '.')"
         " || if(e.key rlike '^[^.\\\\[\\\\]]+$', e.key, char(34) || e.key || char(34)),"
@@ -32,20 +34,21 @@ def _members_sql(nodes: str, embedded: list[str]) -> str:
     return f"flatten(transform({nodes}, n -> coalesce({members}, {items}, cast(array() as array<{_NODE}>))))"
 
 
-def shred(df: DataFrame, keys: list[str], body: str, depth: int = MAX_DEPTH, embedded: list[str] | None = None) -> DataFrame:
+def shred(df: DataFrame, keys: list[str], body: str, depth: int = MAX_DEPTH, embedded: list[str] | None = None, skip: list[str] | None = None) -> DataFrame:
     """The adjacency table of JSON documents: keys, node, parent, label, ordinal, kind, scalar.
 
     ``node`` is the path of a node and unique in its document (field names that are empty or hold
     dots or brackets are quoted); ``parent`` points to the node
     that holds it; ``label`` is the field name (array elements carry their array's); ``ordinal`` is
     the place among the siblings; ``kind`` is object, array, null or scalar; ``scalar`` its text.
-    Fields named in ``embedded`` may hold their JSON as text, which is then looked into.
+    Fields named in ``embedded`` may hold their JSON as text, which is then looked into; those named
+    in ``skip`` stay whole, with their JSON as their scalar.
     Damaged and null documents give no rows; a null element keeps its ordinal. One pass, no shuffle.
     """
     out = df.select(*keys, F.try_parse_json(F.regexp_replace(F.col(body), "^[\\uFEFF\\s]+|\\s+$", "")).alias("_doc")).where("_doc is not null")
     out = out.withColumn("_l0", F.expr("array(named_struct('node', '', 'parent', cast(null as string), 'label', '', 'ordinal', 0, 'value', _doc))")).drop("_doc")
     for level in range(depth):
-        out = out.withColumn(f"_l{level + 1}", F.expr(_members_sql(f"_l{level}", embedded or [])))
+        out = out.withColumn(f"_l{level + 1}", F.expr(_members_sql(f"_l{level}", embedded or [], skip or [])))
     nodes = out.select(*keys, F.explode(F.concat(*(F.col(f"_l{i}") for i in range(depth + 1)))).alias("n")).select(*keys, "n.*")
     schema_of = "schema_of_variant(value)"
     return nodes.select(

@@ -58,26 +58,30 @@ ORACLE["p2_findings"] = _FINDINGS + (
 )
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.shred(table(spark, sf_dir, "cerberus_results"), ["report_id"], "body", embedded=shred.EMBEDDED)
+def _nodes(spark: SparkSession, sf_dir: str, skip: list[str] | None = None) -> DataFrame:
+    return shred.shred(table(spark, sf_dir, "cerberus_results"), ["report_id"], "body", embedded=shred.EMBEDDED, skip=skip)
+
+
+#: Parts of a report that the tables of findings, end points and steps take nothing from.
+_ASIDE = ["metadata", "summary", "slice", "verification"]
 
 
 @_query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources, sinks and trace steps with the keys of their report and finding."""
-    return shred.report_parts(_nodes(spark, sf_dir)).select("report_id", "finding_no", "node", "node_no", "name")
+    return shred.report_parts(_nodes(spark, sf_dir, _ASIDE)).select("report_id", "finding_no", "node", "node_no", "name")
 
 
 @_query
 def p2_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of findings."""
-    return shred.report_findings(_nodes(spark, sf_dir))
+    return shred.report_findings(_nodes(spark, sf_dir, _ASIDE))
 
 
 @_query
 def p2_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End points and steps with file, line and code."""
-    return shred.report_parts(_nodes(spark, sf_dir))
+    return shred.report_parts(_nodes(spark, sf_dir, _ASIDE))
 
 
 @_query
