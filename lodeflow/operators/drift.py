@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from lodeflow.session import spread
+
 INT, NUMBER, STRING, OBJECT, ARRAY = "int", "number", "string", "object", "array"
 
 
@@ -159,7 +161,7 @@ def changes(df: DataFrame, keys: list[str], body: str, schema: DeclaredSchema) -
     Null values are no change; damaged documents give no rows. Re-delivered documents count
     once (the result is made distinct on the keys, after the bodies are gone).
     """
-    parsed = parse_documents(df.select(*keys, body), body, schema)
+    parsed = parse_documents(spread(df.select(*keys, body)), body, schema)
     lists = [
         "transform(filter(_missing, m -> not map_contains_key(_renamed, m)), m -> struct(m as field_path, 'removed' as change))",
         "transform(map_keys(_renamed), m -> struct(m as field_path, 'renamed' as change))",

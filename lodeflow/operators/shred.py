@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lodeflow.session import spread
+
 #: Levels that are looked into; a node below has its JSON text as its scalar.
 MAX_DEPTH = 12
 _NODE = "struct<node:string,parent:string,label:string,ordinal:int,value:variant>"
@@ -43,9 +45,10 @@ def shred(df: DataFrame, keys: list[str], body: str, depth: int = MAX_DEPTH, emb
     the place among the siblings; ``kind`` is object, array, null or scalar; ``scalar`` its text.
     Fields named in ``embedded`` may hold their JSON as text, which is then looked into; those named
     in ``skip`` stay whole, with their JSON as their scalar.
-    Damaged and null documents give no rows; a null element keeps its ordinal. One pass, no shuffle.
+    Damaged and null documents give no rows; a null element keeps its ordinal. One pass, no shuffle of
+    large inputs.
     """
-    out = df.select(*keys, F.try_parse_json(F.regexp_replace(F.col(body), "^[\\uFEFF\\s]+|\\s+$", "")).alias("_doc")).where("_doc is not null")
+    out = spread(df.select(*keys, body)).select(*keys, F.try_parse_json(F.regexp_replace(F.col(body), "^[\\uFEFF\\s]+|\\s+$", "")).alias("_doc")).where("_doc is not null")
     out = out.withColumn("_l0", F.expr("array(named_struct('node', '', 'parent', cast(null as string), 'label', '', 'ordinal', 0, 'value', _doc))")).drop("_doc")
     for level in range(depth):
         out = out.withColumn(f"_l{level + 1}", F.expr(_members_sql(f"_l{level}", embedded or [], skip or [])))

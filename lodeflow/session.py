@@ -58,3 +58,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Below so many bytes of input for each core, compute-heavy stages are spread over all cores first.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before work that costs far more than moving it.
+
+    A small table is often one file and so one task. Only the planner's size estimate is looked at;
+    larger inputs have splits enough and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
