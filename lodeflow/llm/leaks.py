@@ -25,6 +25,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from lodeflow.session import spread
+
 #: Words of a shingle and of a run that counts as a leak; hashes of a signature.
 SHINGLE, RUN, HASHES = 5, 12, 48
 #: Share of an item's words that must stand in order, and how much longer than the item the passage may be.
@@ -245,7 +247,7 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
                     rows += [(ids[first + n], i) for n, i in sorted(candidates) if leaks_in(words_by_item[i], part[n])]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 
-        return corpus.mapInPandas(search, out)
+        return spread(corpus).mapInPandas(search, out)
 
     def keys_of(batches: Iterator[pd.DataFrame], document: bool) -> Iterator[pd.DataFrame]:
         local = _Hasher()

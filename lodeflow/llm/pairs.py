@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lodeflow.session import spread
+
 #: Shortest tile in words, and the share of an answer that tiles of the prompt must cover.
 TILE, COPIED = 3, 0.85
 
@@ -187,7 +189,7 @@ def find_defects(df: DataFrame, key: str = "call_id", prompt: str = "prompt", la
             yield pd.DataFrame([r for r in found if r[1]], columns=[key, "defect"])
 
     rows = df.select(F.col(key).alias("k"), F.col(prompt).alias("p"), F.col(lang).alias("g"), F.col(content).alias("c"))
-    return rows.mapInPandas(judge, f"{key} {kind}, defect string").distinct()
+    return spread(rows).mapInPandas(judge, f"{key} {kind}, defect string").distinct()
 
 
 def defect_report(found: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lodeflow.session import written
+from lodeflow.session import spread, written
 
 #: Share of the greatest possible information about a person that a term must give (in a slot, elsewhere).
 DISCLOSURE, DISCLOSURE_ELSEWHERE = 0.6, 0.85
@@ -173,7 +173,7 @@ def _scan(df: DataFrame, doc_id: str, text: str, spans: bool) -> DataFrame:
 
     docs = df.where(F.length(F.col(text)) > 0).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInPandas(scan, f"doc_id {kind}, pii_type string, start_char int, end_char int, in_slot boolean, terms array<string>, term string, n_all bigint, n_slot bigint")
+    return spread(docs).mapInPandas(scan, f"doc_id {kind}, pii_type string, start_char int, end_char int, in_slot boolean, terms array<string>, term string, n_all bigint, n_slot bigint")
 
 
 def _scores(scanned: DataFrame) -> DataFrame:
