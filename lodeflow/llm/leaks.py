@@ -137,8 +137,9 @@ def document_keys(docs: list[list[str]], hasher: _Hasher, classes: list[int], wa
         return owners, keys
 
     minima = _run_minima(np.where(real, s, _MAX))
-    fresh = np.concatenate(([True], minima[1:] != minima[:-1])) if len(minima) else np.zeros(0, bool)
-    yield chosen(0, minima[fresh], doc_of[: len(minima)][fresh])
+    owners = doc_of[: len(minima)]
+    fresh = np.concatenate(([True], (minima[1:] != minima[:-1]) | (owners[1:] != owners[:-1]))) if len(minima) else np.zeros(0, bool)
+    yield chosen(0, minima[fresh], owners[fresh])
     for i in range(HASHES):
         with np.errstate(over="ignore"):
             h = _mix(s * _A[i] + _B[i])

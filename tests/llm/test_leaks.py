@@ -65,3 +65,12 @@ def test_odd_texts(spark):
     assert leaks.find_leaks(d, "doc_id", "text", q, "item_id", "text").count() == 0
     assert leaks.find_leaks(d, "doc_id", "text", q.limit(0), "item_id", "text").count() == 0
     assert leaks.find_leaks(d.limit(0).withColumnRenamed("doc_id", "item_id"), "item_id", "text", q, "item_id", "text").count() == 0
+
+
+def test_run_at_the_start_of_each_document(spark):
+    rng = random.Random(5)
+    items = {i: " ".join(f"w{rng.randrange(50_000)}" for _ in range(1000)) for i in range(3)}
+    docs = {d: " ".join(items[d % 3].split()[7 * d : 7 * d + leaks.RUN] + [f"x{rng.randrange(50_000)}" for _ in range(20)]) for d in range(120)}
+    d, q = frames(spark, docs, items)
+    found = {tuple(r) for r in leaks.find_leaks(d.coalesce(1), "doc_id", "text", q, "item_id", "text").collect()}
+    assert found == {(n, n % 3) for n in docs}
