@@ -1,47 +1,46 @@
-"""Evaluation texts leaking into a corpus: size-partitioned MinHash containment search.
+"""Evaluation texts leaking into a corpus: containment search by keys that no leak can lack.
 
 An item leaks if a run of RUN words of it stands in a document, or if most of its words do, in
 order, in a passage about as long. Documents are far longer than items, so a signature of a whole
-document says nothing about an item. Queries are therefore partitioned by size, and each document
-is cut into overlapping windows of every partition's size:
+document says nothing about an item. Two kinds of keys name candidates, and neither misses a leak:
 
 * runs of RUN words: the smallest shingle hash of each window (one hash; windows of equal words
-  always agree, so no run is missed);
-* whole items, by size classes: MinHash signatures of HASHES hashes over windows of the class's
-  size; any agreeing hash names a candidate.
+  always agree);
+* reworded items: pairs of words at most GAP apart. Of the words that stand in order so many must
+  be neighbours in both texts that a share of the item's pairs, which follows from its length, stands
+  in the passage wherever the changed words are. Items are partitioned by the size of their passage,
+  and pairs are counted in overlapping segments of each partition's size.
 
 Candidates are verified by exact containment: the shingles of the run, or the longest common
-subsequence with the passage.
+subsequence with every passage.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodeflow.session import spread
 
-#: Words of a shingle and of a run that counts as a leak; hashes of a signature.
-SHINGLE, RUN, HASHES = 5, 12, 48
+#: Words of a shingle and of a run that counts as a leak; how far apart the words of a pair may be.
+SHINGLE, RUN, GAP = 5, 12, 2
 #: Share of an item's words that must stand in order, and how much longer than the item the passage may be.
 REWORDED, PASSAGE = 0.75, 1.34
-#: Window sizes of the item classes in blocks of BLOCK shingles: an item belongs to the first class that holds it.
-BLOCK, CLASSES = 16, (2, 4, 6, 8, 12, 16, 24, 32, 64)
-#: Signatures of at most so many items are sent to the tasks; beyond, signatures are joined by Spark.
+#: Documents are padded to blocks of so many shingles; the smallest partition of passages in words.
+BLOCK, LEAST_PASSAGE = 16, 64
+#: Keys of at most so many items are sent to the tasks; beyond, keys are joined by Spark.
 BROADCAST_ITEMS = 20_000
-#: Words that are hashed at once; bits of the table that keys are looked up in first.
-PART_WORDS, WANTED_BITS = 500_000, 22
+#: Words that are hashed at once, and whose pairs are looked up at once; bits of the table that keys are looked up in first.
+PART_WORDS, PAIR_WORDS, WANTED_BITS = 500_000, 50_000, 22
 
 _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20240607)
-_A = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
 _P = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MAX = np.uint64(2**64 - 1)
 
@@ -86,81 +85,148 @@ def _run_minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def _key(kind: int, value: np.ndarray) -> np.ndarray:
-    """A signed key for joins: the part of the signature (run: 0, hash i of class c: another number) and its value."""
+    """A signed key for joins: its kind (run: 0, pair: 1) and its value."""
     with np.errstate(over="ignore"):
         return _mix(value + np.uint64(kind) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _class_of(n_shingles: int) -> int:
-    return next((c for c, blocks in enumerate(CLASSES) if n_shingles <= blocks * BLOCK), len(CLASSES) - 1)
+def _need(n: int) -> int:
+    """How many words of an item of n words must stand in order."""
+    return int(np.ceil(REWORDED * n - 1e-9))
 
 
-def item_keys(words: list[str], hasher: _Hasher) -> np.ndarray:
-    """The signature of an item: the minima of its runs and its MinHash values in its class."""
-    s = hasher.shingles(words)
-    if not len(s):
-        return np.zeros(0, np.int64)
-    c = _class_of(len(s))
-    with np.errstate(over="ignore"):
-        signature = np.array([_mix(s * _A[i] + _B[i]).min() for i in range(HASHES)], np.uint64)
-    parts = [_key(0, np.unique(_run_minima(s)))]
-    parts += [_key(1 + c * HASHES + i, signature[i : i + 1]) for i in range(HASHES)]
-    return np.unique(np.concatenate(parts))
+def _passage(n: int) -> int:
+    return int(n * PASSAGE)
+
+
+def _least_pairs(n: int) -> int:
+    """How many pairs of an item of n words stand in any passage that holds it reworded, at least.
+
+    Of the need - 1 steps between words in order those are pairs that are at most GAP wide in both
+    texts; each wider one takes up GAP of the item's missing or the passage's other words. Positive from SHINGLE words on.
+    """
+    need = _need(n)
+    return need - 1 - (n - need) // GAP - (_passage(n) - need) // GAP
+
+
+def _partition(n: int) -> int:
+    """The size of the partition that the passages of an item of n words belong to."""
+    return max(LEAST_PASSAGE, 1 << (_passage(n) - 1).bit_length())
+
+
+def _pairs(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and keys of all pairs of words of the same owner."""
+    at, keys = [], []
+    for gap in range(1, GAP + 1):
+        same = np.flatnonzero(owners[gap:] == owners[:-gap])
+        with np.errstate(over="ignore"):
+            keys.append(_key(1, _mix(hashes[same] * _P[0] + hashes[same + gap] * _P[1])))
+        at.append(same)
+    return np.concatenate(at), np.concatenate(keys)
+
+
+def item_keys(words: list[str], hasher: _Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of an item: those of its runs, those of its pairs, and how often each pair stands in it."""
+    if len(words) < SHINGLE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs, counts = np.unique(_pairs(hasher.words(words), np.zeros(len(words), np.int8))[1], return_counts=True)
+    return _key(0, np.unique(_run_minima(hasher.shingles(words)))), pairs, counts
 
 
-def document_keys(docs: list[list[str]], hasher: _Hasher, classes: list[int], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The signatures of all windows of some documents, for the classes that items fall into.
+def run_keys(docs: list[list[str]], hasher: _Hasher, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all runs of some documents: arrays of document numbers and keys.
 
-    Gives arrays of document numbers and keys; with a table of ``wanted`` key prefixes only keys
-    that may be wanted. Windows start at every block and hold one block more than the class's size,
-    so that an item of the class lies whole in some window wherever it starts. The documents are
-    hashed in one array; a window that runs into the next document only adds a candidate.
+    With a table of ``wanted`` key prefixes only keys that may be wanted. The documents are hashed
+    in one array; a window that runs into the next document only adds a candidate.
     """
     each = [hasher.shingles(w) for w in docs]
     lengths = np.array([-(-len(s) // BLOCK) * BLOCK for s in each], np.int64)
-    if not lengths.sum():
-        return
-    s = np.zeros(int(lengths.sum()), np.uint64)
-    real = np.zeros(len(s), bool)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    for start, own in zip(starts, each, strict=True):
+    s = np.full(int(lengths.sum()), _MAX)
+    for start, own in zip(np.cumsum(lengths) - lengths, each, strict=True):
         s[start : start + len(own)] = own
-        real[start : start + len(own)] = True
-    doc_of = np.repeat(np.arange(len(docs)), lengths)
-    block_doc = doc_of[::BLOCK]
-
-    def chosen(kind: int, values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = _key(kind, values)
-        if wanted is not None:
-            keep = wanted[keys.view(np.uint64) >> np.uint64(64 - WANTED_BITS)]
-            return owners[keep], keys[keep]
-        return owners, keys
-
-    minima = _run_minima(np.where(real, s, _MAX))
-    owners = doc_of[: len(minima)]
+    minima = _run_minima(s)
+    owners = np.repeat(np.arange(len(docs)), lengths)[: len(minima)]
     fresh = np.concatenate(([True], (minima[1:] != minima[:-1]) | (owners[1:] != owners[:-1]))) if len(minima) else np.zeros(0, bool)
-    yield chosen(0, minima[fresh], owners[fresh])
-    for i in range(HASHES):
-        with np.errstate(over="ignore"):
-            h = _mix(s * _A[i] + _B[i])
-        h[~real] = _MAX
-        blocks = h.reshape(-1, BLOCK).min(axis=1)
-        for c in classes:
-            width = min(CLASSES[c] + 1, len(blocks))
-            minima = np.lib.stride_tricks.sliding_window_view(blocks, width).min(axis=1)
-            # The last windows are shorter than the class: the tail of the array as it is.
-            tail = np.minimum.accumulate(blocks[::-1])[::-1][len(minima) :]
-            values = np.concatenate((minima, tail))
-            fresh = np.concatenate(([True], (values[1:] != values[:-1]) | (block_doc[1:] != block_doc[:-1])))
-            yield chosen(1 + c * HASHES + i, values[fresh], block_doc[fresh])
-
-
-def _parts(docs: list[list[str]]) -> Iterator[tuple[int, list[list[str]]]]:
-    """Documents in parts of about PART_WORDS words."""
+    owners, keys = owners[fresh], _key(0, minima[fresh])
+    if wanted is not None:
+        keep = wanted[keys.view(np.uint64) >> np.uint64(64 - WANTED_BITS)]
+        owners, keys = owners[keep], keys[keep]
+    return owners, keys
+
+
+class _Items:
+    """The keys of all items, sorted for searches in many documents."""
+
+    def __init__(self, texts: list[list[str]]) -> None:
+        hasher = _Hasher()
+        keyed = [item_keys(w, hasher) for w in texts]
+        self.runs = [(k, i) for i, (runs, _, _) in enumerate(keyed) for k in runs.tolist()]
+        keys = np.concatenate([np.zeros(0, np.int64), *(pairs for _, pairs, _ in keyed)])
+        weights = np.concatenate([np.zeros(0, np.int64), *(counts for _, _, counts in keyed)])
+        item = np.repeat(np.arange(len(texts)), [len(pairs) for _, pairs, _ in keyed])
+        _, which, n_items = np.unique(keys, return_inverse=True, return_counts=True)
+        # The pairs that most items share are left out, up to half of those that must be there, and the least number falls by them.
+        self.least = np.array([_least_pairs(len(w)) for w in texts], np.int64)
+        order = np.lexsort((keys, -n_items[which], item))
+        item, keys, weights = item[order], keys[order], weights[order]
+        before = np.cumsum(weights)
+        starts = np.searchsorted(item, item)
+        before -= before[starts] - weights[starts]
+        left_out = before <= self.least[item] // 2
+        self.least -= np.bincount(item[left_out], weights[left_out], minlength=len(texts)).astype(np.int64)
+        order = np.flatnonzero(~left_out)
+        order = order[np.argsort(keys[order], kind="stable")]
+        self.keys, self.item, self.weights = keys[order], item[order], weights[order]
+        self.partition = np.array([_partition(len(w)) for w in texts], np.int64)
+
+    def wanted(self) -> np.ndarray:
+        """The table of the prefixes of all keys."""
+        table = np.zeros(1 << WANTED_BITS, bool)
+        keys = np.concatenate((self.keys, np.array([k for k, _ in self.runs], np.int64)))
+        table[keys.view(np.uint64) >> np.uint64(64 - WANTED_BITS)] = True
+        return table
+
+    def reworded(self, docs: list[list[str]], hasher: _Hasher, wanted: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Document, item, and start and end of each segment that holds pairs enough of the item."""
+        lengths = np.array([len(w) for w in docs], np.int64)
+        if not lengths.sum() or not len(self.keys):
+            return
+        first = np.cumsum(lengths) - lengths
+        doc_of = np.repeat(np.arange(len(docs)), lengths)
+        at, keys = _pairs(np.concatenate([hasher.words(w) for w in docs]), doc_of)
+        keep = wanted[keys.view(np.uint64) >> np.uint64(64 - WANTED_BITS)]
+        at, keys = at[keep], keys[keep]
+        low = np.searchsorted(self.keys, keys)
+        n = np.searchsorted(self.keys, keys, "right") - low
+        entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = np.repeat(at, n)
+        for size in np.unique(self.partition[self.item]).tolist():
+            own = self.partition[self.item[entry]] == size
+            e, p = entry[own], at[own]
+            # A passage that starts in a part of the partition's size ends in the next one at the latest.
+            n_parts = lengths // size + 1
+            base = np.cumsum(n_parts) - n_parts
+            d = doc_of[p]
+            part = (p - first[d]) // size
+            slot = base[d] + part
+            slots = np.concatenate((slot, slot[part > 0] - 1))
+            once = np.unique(slots * len(self.keys) + np.concatenate((e, e[part > 0])))
+            slots, e = once // len(self.keys), once % len(self.keys)
+            pairs, which = np.unique(slots * len(self.least) + self.item[e], return_inverse=True)
+            enough = np.bincount(which, self.weights[e], minlength=len(pairs)) >= self.least[pairs % len(self.least)]
+            for x in pairs[enough].tolist():
+                slot, i = divmod(x, len(self.least))
+                d = int(np.searchsorted(base, slot, "right")) - 1
+                start = (slot - int(base[d])) * size
+                yield d, i, start, start + 2 * size
+
+
+def _parts(docs: list[list[str]], most: int = PART_WORDS) -> Iterator[tuple[int, list[list[str]]]]:
+    """Documents in parts of about so many words."""
     start, size = 0, 0
     for n, words in enumerate(docs):
         size += len(words)
-        if size >= PART_WORDS:
+        if size >= most:
             yield start, docs[start : n + 1]
             start, size = n + 1, 0
     if start < len(docs):
@@ -178,46 +244,56 @@ def _lcs(a: list[str], positions: dict[str, int], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def leaks_in(item: list[str], doc: list[str]) -> bool:
-    """Whether the document holds a run of RUN words of the item, or the item reworded."""
+def _run_in(item: list[str], doc: list[str]) -> bool:
+    """Whether the document holds a run of RUN words of the item."""
+    runs = {tuple(item[p : p + RUN]) for p in range(len(item) - RUN + 1)}
+    return bool(runs) and any(tuple(doc[k : k + RUN]) in runs for k in range(len(doc) - RUN + 1))
+
+
+def _reworded_in(item: list[str], doc: list[str]) -> bool:
+    """Whether some passage of the document holds the item reworded.
+
+    Every passage is looked at that starts with a word of the item and shares words enough with it.
+    """
     n = len(item)
-    at: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for p in range(n - SHINGLE + 1):
-        at[tuple(item[p : p + SHINGLE])].append(p)
-    offsets = set()
-    run: dict[int, tuple[int, int]] = {}
-    for k in range(len(doc) - SHINGLE + 1):
-        for p in at.get(tuple(doc[k : k + SHINGLE]), ()):
-            d = k - p
-            offsets.add(d)
-            last, length = run.get(d, (-2, 0))
-            length = length + 1 if last == k - 1 else 1
-            run[d] = (k, length)
-            if length + SHINGLE - 1 >= RUN:
-                return True
-    need = int(np.ceil(REWORDED * n - 1e-9))
+    if n < SHINGLE:
+        return False
+    need, size = _need(n), _passage(n)
+    own, opening = Counter(item), set(item[: n - need + 1])
     positions: dict[str, int] = defaultdict(int)
     for p, w in enumerate(item):
         positions[w] |= 1 << p
-    tried: set[int] = set()
-    spare = int(n * (PASSAGE - 1) / 2)
-    for d in sorted(offsets):
-        for start in (d - spare, d, d - 2 * spare):
-            start = max(0, start)
-            if start // 3 in tried:
-                continue
-            tried.add(start // 3)
-            if _lcs(item, positions, doc[start : start + int(n * PASSAGE)]) >= need:
+    inside: dict[str, int] = defaultdict(int)
+    shared = end = next_start = 0
+    for start, w in enumerate(doc):
+        while end < min(start + size, len(doc)):
+            x = doc[end]
+            if x in own:
+                shared += inside[x] < own[x]
+                inside[x] += 1
+            end += 1
+        if shared >= need and start >= next_start and w in opening:
+            found = _lcs(item, positions, doc[start : start + size])
+            if found >= need:
                 return True
+            next_start = start + need - found  # one word on adds one at most
+        if w in own:
+            inside[w] -= 1
+            shared -= inside[w] < own[w]
     return False
 
 
+def leaks_in(item: list[str], doc: list[str]) -> bool:
+    """Whether the document holds a run of RUN words of the item, or the item reworded."""
+    return _run_in(item, doc) or _reworded_in(item, doc)
+
+
 def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """One row per document and item it gives away: doc_id, item_id.
 
-    Null, empty and very short texts (below a shingle) leak nothing. Items of the same id count once.
+    Null, empty and very short items (below a shingle) and texts leak nothing. Items of the same id count once.
     The corpus is read once and never shuffled while the items are few (their number is counted);
-    beyond BROADCAST_ITEMS the signatures of both sides are joined and the texts follow the candidates.
+    beyond BROADCAST_ITEMS the keys of both sides are joined and the texts follow the candidates.
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
@@ -225,47 +301,64 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     queries = items.where(F.length(F.col(item_text)) > 0).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).dropDuplicates(["item_id"])
     out = f"doc_id {kinds[0]}, item_id {kinds[1]}"
     if queries.count() <= BROADCAST_ITEMS:
-        hasher = _Hasher()
         texts = {r["item_id"]: words_of(r["text"]) for r in queries.collect()}
-        keyed = [(k, i) for i, w in texts.items() for k in item_keys(w, hasher).tolist()]
-        classes = sorted({_class_of(len(w) - SHINGLE + 1) for w in texts.values() if len(w) >= SHINGLE})
-        shared = spark.sparkContext.broadcast((keyed, texts, classes))
+        shared = spark.sparkContext.broadcast((list(texts), list(texts.values()), _Items(list(texts.values()))))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pairs, words_by_item, used = shared.value
+            names, item_words, known = shared.value
             by_key = defaultdict(list)
-            wanted = np.zeros(1 << WANTED_BITS, bool)
-            for k, i in pairs:
+            for k, i in known.runs:
                 by_key[k].append(i)
-                wanted[(k & (2**64 - 1)) >> (64 - WANTED_BITS)] = True
+            wanted = known.wanted()
             local = _Hasher()
             for batch in batches:
                 ids = batch["doc_id"].tolist()
                 words = [words_of(text) for text in batch["text"]]
-                rows = []
+                found: set[tuple[int, int]] = set()
                 for first, part in _parts(words):
-                    candidates = {(n, i) for owners, keys in document_keys(part, local, used, wanted) for n, k in zip(owners.tolist(), keys.tolist(), strict=True) for i in by_key.get(k, ())}
-                    rows += [(ids[first + n], i) for n, i in sorted(candidates) if leaks_in(words_by_item[i], part[n])]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+                    owners, keys = run_keys(part, local, wanted)
+                    candidates = {(n, i) for n, k in zip(owners.tolist(), keys.tolist(), strict=True) for i in by_key.get(k, ())}
+                    found |= {(first + n, i) for n, i in candidates if _run_in(item_words[i], part[n])}
+                for first, part in _parts(words, PAIR_WORDS):
+                    for n, i, start, end in known.reworded(part, local, wanted):
+                        if (first + n, i) not in found and _reworded_in(item_words[i], part[n][start:end]):
+                            found.add((first + n, i))
+                yield pd.DataFrame([(ids[n], names[i]) for n, i in sorted(found)], columns=["doc_id", "item_id"])
 
         return spread(corpus).mapInPandas(search, out)
 
-    def keys_of(batches: Iterator[pd.DataFrame], document: bool) -> Iterator[pd.DataFrame]:
+    def doc_keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         local = _Hasher()
         for batch in batches:
             ids, keys = [], []
-            for x, text in zip(batch["id"], batch["text"], strict=True):
-                if document:
-                    own = np.unique(np.concatenate([np.zeros(0, np.int64), *(k for _, k in document_keys([words_of(text)], local, list(range(len(CLASSES)))))]))
-                else:
-                    own = item_keys(words_of(text), local)
+            for x, text in zip(batch["doc_id"], batch["text"], strict=True):
+                words = words_of(text)
+                own = np.unique(np.concatenate((run_keys([words], local)[1], _pairs(local.words(words), np.zeros(len(words), np.int8))[1])))
                 ids += [x] * len(own)
                 keys += own.tolist()
-            yield pd.DataFrame({"id": ids, "key": keys})
+            yield pd.DataFrame({"doc_id": ids, "key": keys})
 
-    doc_keys = corpus.select(F.col("doc_id").alias("id"), "text").mapInPandas(lambda b: keys_of(b, True), f"id {kinds[0]}, key bigint").withColumnRenamed("id", "doc_id")
-    query_keys = queries.select(F.col("item_id").alias("id"), "text").mapInPandas(lambda b: keys_of(b, False), f"id {kinds[1]}, key bigint").withColumnRenamed("id", "item_id")
-    pairs = doc_keys.join(query_keys, "key").select("doc_id", "item_id").distinct()
+    def item_keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        local = _Hasher()
+        for batch in batches:
+            rows = []
+            for x, text in zip(batch["item_id"], batch["text"], strict=True):
+                words = words_of(text)
+                runs, pairs, counts = item_keys(words, local)
+                least = max(_least_pairs(len(words)), 1)
+                rows += [(x, k, least, least, True) for k in runs.tolist()] + [(x, k, c, least, False) for k, c in zip(pairs.tolist(), counts.tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["item_id", "key", "weight", "least", "is_run"])
+
+    doc_keys = corpus.mapInPandas(doc_keys_of, f"doc_id {kinds[0]}, key bigint")
+    item_rows = queries.mapInPandas(item_keys_of, f"item_id {kinds[1]}, key bigint, weight bigint, least bigint, is_run boolean")
+    # As in _Items: the pairs that most items share are left out, up to half of those that must be there.
+    often = item_rows.withColumn("n_items", F.count("*").over(Window.partitionBy("key")))
+    of_item = Window.partitionBy("item_id")
+    before = F.sum("weight").over(Window.partitionBy("item_id", "is_run").orderBy(F.desc("n_items"), "key"))
+    marked = often.withColumn("left_out", ~F.col("is_run") & (before <= F.floor(F.col("least") / 2)))
+    kept = marked.withColumn("enough", F.col("least") - F.coalesce(F.sum(F.when(F.col("left_out"), F.col("weight"))).over(of_item), F.lit(0))).where("not left_out")
+    counted = doc_keys.join(kept, "key").groupBy("doc_id", "item_id").agg(F.sum("weight").alias("weight"), F.first("enough").alias("enough"))
+    pairs = counted.where("weight >= enough").select("doc_id", "item_id")
     texts_of = pairs.join(corpus, "doc_id").join(queries.withColumnRenamed("text", "item_text"), "item_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -74,3 +74,63 @@ def test_run_at_the_start_of_each_document(spark):
     d, q = frames(spark, docs, items)
     found = {tuple(r) for r in leaks.find_leaks(d.coalesce(1), "doc_id", "text", q, "item_id", "text").collect()}
     assert found == {(n, n % 3) for n in docs}
+
+
+def reworded(rng, item, share, evenly, kinds):
+    step = round(1 / share)
+    at = set(range(step - 1, len(item), step)) if evenly else set(rng.sample(range(len(item)), int(share * len(item))))
+    out = []
+    for p, w in enumerate(item):
+        kind = rng.choice(kinds) if p in at else "keep"
+        out += {"keep": [w], "change": [f"y{rng.randrange(9999)}"], "drop": [], "add": [w, f"y{rng.randrange(9999)}"]}[kind]
+    return out
+
+
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def both_ways(spark, monkeypatch, docs, items):
+    d, q = frames(spark, docs, items)
+    found = {tuple(r) for r in leaks.find_leaks(d, "doc_id", "text", q, "item_id", "text").collect()}
+    monkeypatch.setattr(leaks, "BROADCAST_ITEMS", 1)
+    assert {tuple(r) for r in leaks.find_leaks(d, "doc_id", "text", q, "item_id", "text").collect()} == found
+    return found
+
+
+def test_recall_of_reworded_items(spark, monkeypatch):
+    rng = random.Random(7)
+    items = {i: [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(30, 130))] for i in range(20)}
+    docs, expected = {}, set()
+    for share in (0.1, 0.15, 0.2, 0.25):
+        for evenly in (True, False):
+            for i, item in items.items():
+                around = [f"x{rng.randrange(3000)}" for _ in range(rng.choice([40, 400]))]
+                at = rng.randrange(len(around))
+                expected.add((len(docs), i))
+                docs[len(docs)] = " ".join([*around[:at], *reworded(rng, item, share, evenly, ["change"]), *around[at:]])
+    assert both_ways(spark, monkeypatch, docs, {i: " ".join(w) for i, w in items.items()}) == expected
+
+
+def test_against_plain_lcs_over_all_passages(spark, monkeypatch):
+    rng = random.Random(11)
+    items = {i: [f"w{rng.randrange(40)}" for _ in range(rng.randrange(5, 22))] for i in range(8)}
+    docs = {}
+    for d in range(60):
+        around = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 40))]
+        at = rng.randrange(len(around))
+        docs[d] = [*around[:at], *reworded(rng, items[d % 8], rng.choice([0.2, 0.25, 0.34]), d % 2, ["change", "drop", "add"]), *around[at:]]
+    expected = set()
+    for d, w in docs.items():
+        for i, item in items.items():
+            size = int(len(item) * leaks.PASSAGE)
+            runs = any(w[k : k + leaks.RUN] == item[p : p + leaks.RUN] for p in range(len(item) - leaks.RUN + 1) for k in range(len(w) - leaks.RUN + 1))
+            if runs or any(plain_lcs(item, w[k : k + size]) >= leaks.REWORDED * len(item) for k in range(len(w))):
+                expected.add((d, i))
+    assert 0 < len(expected) < len(docs) * len(items)
+    assert both_ways(spark, monkeypatch, {d: " ".join(w) for d, w in docs.items()}, {i: " ".join(w) for i, w in items.items()}) == expected
