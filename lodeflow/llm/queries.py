@@ -16,21 +16,23 @@ def _query(fn):
     return fn
 
 
+_CODE = (("training_examples", "example_id", "code_context"), ("trace_steps", "step_id", "code_snippet"))
+
+
 @_query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credential values in the code of training examples and trace steps."""
-    sources = (("training_examples", "example_id", "code_context"), ("trace_steps", "step_id", "code_snippet"))
     found = [
-        secrets.find_secrets(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("record_table"), "record_id", "secret_start", "secret_end") for name, key, text in sources
+        secrets.find_secrets(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("record_table"), "record_id", "secret_start", "secret_end") for name, key, text in _CODE
     ]
     return found[0].unionByName(found[1])
 
 
 @_query
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code contexts with credentials blanked out."""
-    rows = table(spark, sf_dir, "training_examples").select("example_id", "code_context")
-    return secrets.redact(rows, "code_context").select("example_id", "redacted").distinct()
+    """The code of training examples and trace steps with credentials blanked out."""
+    rows = [table(spark, sf_dir, name).select(F.lit(name).alias("record_table"), F.col(key).cast("bigint").alias("record_id"), F.col(text).alias("code")) for name, key, text in _CODE]
+    return secrets.redact(rows[0].unionByName(rows[1]), "code").select("record_table", "record_id", "redacted").distinct()
 
 
 @_query
