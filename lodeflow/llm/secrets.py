@@ -18,7 +18,11 @@ NAME = (
     r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|tok|api_?key|apikey|access_?key|auth_?key|svc_?key|maps_?key|app_?key"
     r"|(?<=[a-z_])key|signing_?key|private_?key|encryption_?key|credential|creds?)"
 )
-NOT_NAMES = r"(?i)(hash|digest|checksum|etag|public|pub_|_pub|pubkey|length|_len|_id$|count|name$|min_|max_|policy|expir|ttl|_file|_path|_url|tokenizer|token_row|primary_?key|foreign_?key|sort_?key|cache_?key|_type)"
+# Looked for in names whose words are in lower case and joined by underscores: whole words, or the end of one that names a credential.
+NOT_NAMES = (
+    r"(?:^|_)(?:[a-z0-9]*hash(?:es|ed)?|(?:password|passwd|pass|pwd|pw|secret|token|key|creds?)?(?:digests?|checksums?|etags?|lengths?|counts?|ttl|expir\w*)|polic(?:y|ies)|min|max|pub)(?:_|$)"
+    r"|(?:^|_)(?:(?:ssh|rsa|gpg|pgp)?pub(?:lic|key)|tokenizer|token_row|(?:primary|foreign|sort|cache)_?key)|_(?:len|files?|paths?|urls?|types?)(?:_|$)|_id$|name$"
+)
 PLACEHOLDER = (
     r"(?i)^(?:<.*>|\$\{.*|\$[A-Z_]+|\{\{.*|%\(.*|%[A-Z_]+%|\[.*\]|x+|\*+|\.+|-+|_+|0+|change[_-]?(?:me|it)|replace[_-]?(?:me|this|with.*)|redacted|masked|hidden|secret|password|passwd"
     r"|token|key|your[_\-\s].*|my[_\-].*|insert[_\-\s].*|enter[_\-\s].*|put[_\-\s].*|todo.*|tbd|dummy.*|sample.*|example.*|placeholder.*|fake.*|test|none|null|nil|undefined|true|false"
@@ -52,6 +56,8 @@ class Detector:
 
 
 _ASSIGN = rf"(?i)(?P<name>{NAME}\w*)[\"']?\]?\s*(?:===?|!==?|:=|=>|=|:)\s*[rbfu]?"
+# What follows a slash without blanks in a path, a ratio or a date rather than in a login.
+_PATH = r"(?-i:\S*/|[a-z_\-]+(?:\.[a-z]{1,5})?[,;)]?(?:\s|$)|\d+[.,;)]?(?:\s|$))"
 DETECTORS = (
     Detector("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"),
     Detector("assignment", _ASSIGN + QUOTED, named=True),
@@ -68,17 +74,22 @@ DETECTORS = (
     Detector("sql", r"(?i)\b(?:identified\s+by|(?:with|set|encrypted)\s+password|password\s+(?:to|for\s+\S+))\s*=?\s*" + QUOTED, gate=r"(?i)(?:identified|password)"),
     Detector("option", r"(?i)--(?:password|passwd|pass|pwd|token|secret|api-key|apikey)(?:=|\s+)(?P<a>[^\s\"'`]+)"),
     Detector("mysql_option", r"\b(?:mysql|mysqldump|mysqladmin|mariadb|sshpass)\b[^\"'`\n]*?\s-p(?P<a>[^\s\"'`\-][^\s\"'`]*)", gate=r"(?i)(?:mysql|mariadb|sshpass)"),
-    Detector("comment", r"(?im)(?:#|//|/\*|--|\*).*?\b(?:logins?|creds?|credentials|tmp|temp|account|user|staging)\b[^:\n]*:[ \t]*[^\s/]+[ \t]*/[ \t]*(?P<a>[^\s/]+)", gate=r"(?i)(?:login|cred|tmp|temp|account|user|staging).* /"),
+    Detector("comment", r"(?im)(?:#|//|/\*|--|\*).*?\b(?:logins?|creds?|credentials|tmp|temp|account|user|staging)\b[^:\n]*:[ \t]*[^\s/]+(?:[ \t]+/[ \t]*|/[ \t]+|/(?!" + _PATH + r"))(?P<a>[^\s/]+)", gate=r"(?i)(?:login|cred|tmp|temp|account|user|staging).*/"),
     *(Detector(f"form_{i}", rf"(?<![0-9A-Za-z_\-])(?P<a>{form})", gate=form) for i, form in enumerate(FORMS)),
 )
 
 
+def _words_of(name: str) -> str:
+    """The words of a name in lower case, joined by underscores: split at camel case and at other characters."""
+    return re.sub(r"[\W_]+", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name)).lower()
+
+
 def _is_secret(value: str, name: str, detector: Detector) -> bool:
     """Whether the value is a live literal rather than a placeholder, a reference or a digest."""
     joined = re.sub(r"[\"']\s*(?:\+|\.|\\\n)\s*[\"']", "", value) if detector.name == "pieces" else value
     if len(joined.strip()) < 4 or re.match(PLACEHOLDER, joined.strip()):
         return False
-    if name and re.search(NOT_NAMES, name):
+    if name and re.search(NOT_NAMES, _words_of(name)):
         return False
     if joined.startswith(("$2a$", "$2b$", "$2y$", "$argon2", "sha256:", "sha1:", "sha512:", "md5:", "{SHA", "-----BEGIN", "data:", "http://", "https://", "ssh-rsa")):
         return False

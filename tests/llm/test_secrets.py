@@ -20,6 +20,11 @@ FOUND = {
     "export SMTP_PASSWORD=qvt-Ew7AmEREbCI4": "qvt-Ew7AmEREbCI4",
     "mail.password: Lagoon72x": "Lagoon72x",
     "# old login: svc_a / copper.Vellum6684": "copper.Vellum6684",
+    "# staging login: svc_a/copper.Vellum6684": "copper.Vellum6684",
+    "admin_password = 'Lagoon72xNebula'": "Lagoon72xNebula",
+    "account_key = 'L6PvfdqsXC7SNfOm'": "L6PvfdqsXC7SNfOm",
+    "cfg.AccountKey = 'L6PvfdqsXC7SNfOm'": "L6PvfdqsXC7SNfOm",
+    "throttle_token: L6PvfdqsXC7SNfOm": "L6PvfdqsXC7SNfOm",
     "os.environ.setdefault('APP_KEY', 'Lagoon.Nebula1965')": "Lagoon.Nebula1965",
     "url = 'https://hooks.test/v1/notify?sig=T4WbTAwo1nHBnSCQJm3&fmt=json'": "T4WbTAwo1nHBnSCQJm3",
     "if pw == 'I29vL*^apso': grant(user)": "I29vL*^apso",
@@ -82,3 +87,14 @@ def test_both_tables_are_redacted(spark, tmp_path):
     spark.createDataFrame(code, "step_id long, code_snippet string").write.parquet(f"{tmp_path}/trace_steps.parquet")
     out = sorted((tuple(r) for r in queries.p3_redacted(spark, str(tmp_path)).collect()), key=str)
     assert out == [(t, i, c) for t in ("trace_steps", "training_examples") for i, c in ((1, "api_key = 'REDACTED'"), (2, None))]
+
+
+@pytest.mark.parametrize("line", ["password_min_length = 'L6PvfdqsXC7S'", "tokenCount = 'L6PvfdqsXC7S'", "PublicKey = 'L6PvfdqsXC7S'", "passwordhash = 'L6PvfdqsXC7S'", "token_ttl: L6PvfdqsXC7S", "# user docs: src/config/app.py", "# temp file: build/output.txt", "# account ratio: 10/1000"])
+def test_excluded_names_and_paths(line):
+    assert secrets.find_spans(line) == []
+
+
+@pytest.mark.parametrize("line", FOUND)
+def test_every_form_is_a_candidate(line):
+    index = secrets.GramIndex()
+    assert secrets.find_spans(line, index.detectors(index.postings(line))) == secrets.find_spans(line) != []
