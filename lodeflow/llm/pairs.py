@@ -42,20 +42,29 @@ REFUSALS = re.compile(
 )
 _LABEL = re.compile(r"(?i)^\W*(?:label\s*[:=]\s*)?(?:source|sink|sanitizer|propagator|none)\b\s*(?:\(\s*[\d.]+\s*%?\s*\))?\s*[:.\-–]?\s*")
 _NOTHING = re.compile(r"(?i)^(?:null|none|n/?a|nil|undefined|empty)?$")
-_ENDS = (".", "!", "?", "。", "！", "？", "…", ")", "»", "”")
+_ENDS = (".", "!", "?", "。", "！", "？", "…", "»", "”")
+_VOID = ("area", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+_TAG = re.compile(r"<(?P<close>/?)(?P<name>[A-Za-z][\w\-]*)(?:\s[^<>]*)?(?P<self>/?)>")
+_CUT_TAG = re.compile(r"(?:<[A-Za-z][\w\-]*\s+[\w\-]+\s*=[^<>]*|</[\w\-]*)\Z")
+_MARKER = re.compile(r"(?:^|[.!?:;\n])[ \t]*\(?(?P<n>\d{1,3})[.)](?=\s|$)")
+_BULLET = re.compile(r"(?:^|\n)[ \t]*[-*+•][ \t]*\Z")
 
 
 def _stack(text: str) -> list[str]:
-    """What is still open at the end: fences, brackets, JSON strings, inline code and tags of a text.
+    """What is still open at the end: fences, brackets, quotations, inline code, emphasis, tags and list items of a text.
 
-    Double quotes only count within brackets, so that apostrophes and inch marks in prose do no harm.
+    Within braces any double quote counts. Elsewhere one only opens after a blank or bracket, so that inch
+    marks do no harm; apostrophes never count. Tags count in texts that close some, so that a mere
+    mention of one does no harm. A list item is open if nothing follows its marker.
     """
     stack: list[str] = []
+    marked = "</" in text
     i, n = 0, len(text)
     while i < n:
         c, top = text[i], stack[-1] if stack else ""
+        before, after = text[i - 1 : i], text[i + 1 : i + 2]
         if top == '"':
-            if c == "\\":
+            if c == "\\" and "{" in stack:
                 i += 1
             elif c == '"':
                 stack.pop()
@@ -70,15 +79,45 @@ def _stack(text: str) -> list[str]:
                 stack.pop()
         elif c == "`":
             stack.append("`")
-        elif c in "{[":
+        elif c in "{[(":
             stack.append(c)
-        elif c in "}]":
-            if top == {"}": "{", "]": "["}[c]:
+        elif c in "}])":
+            if top == {"}": "{", "]": "[", ")": "("}[c]:
                 stack.pop()
-        elif c == '"' and "{" in stack:
+        elif c == '"' and ("{" in stack or ((not before or before in " \t\n([") and after.strip())):
             stack.append('"')
+        elif c in "“„«" and top != "„" and (c != "«" or not before or before.isspace() or before == "("):
+            stack.append(c)
+        elif c in "“”»" and top and top in {"“": "„", "”": "“„", "»": "«"}[c]:
+            stack.pop()
+        elif "```" in stack:
+            pass
+        elif text.startswith("**", i):
+            if "**" in stack:
+                del stack[stack.index("**") :]
+            elif (not before or before in " \t\n(") and re.match(r"(?!(?:kw|opt|param|arg|attr|data)\w*\b)\w", text[i + 2 : i + 40]):
+                stack.append("**")
+            i += 1
+        elif c == "<" and marked and (m := _TAG.match(text, i)):
+            name = "<" + m["name"].lower()
+            if m["close"]:
+                if name in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(name) :]
+            elif not m["self"] and not m[0].endswith("/>") and name[1:] not in _VOID:
+                stack.append(name)
+            i = m.end() - 1
         i += 1
-    return stack
+    return stack + _open_ends(text)
+
+
+def _open_ends(text: str) -> list[str]:
+    """A tag that is cut within itself, or a list marker with nothing behind it, at the end of a text."""
+    found = ["<"] if _CUT_TAG.search(text) else []
+    markers = [(int(m["n"]), m.end()) for m in _MARKER.finditer(text)]
+    # A number that ends a sentence is no marker: the one before it must be there.
+    if markers and markers[-1][1] == len(text.rstrip()) and (markers[-1][0] == 1 or markers[-1][0] - 1 in [k for k, _ in markers[:-1]]):
+        found.append("item")
+    return [*found, "item"] if _BULLET.search(text) else found
 
 
 def _json_answer(text: str) -> tuple[dict | None, bool]:
@@ -166,8 +205,8 @@ def defect_of(prompt: str | None, prompt_lang: str | None, content: str | None)
         return "refusal"
     if found is None and (begun or _stack(text)):
         return "truncated"
-    end = re.sub(r"[\s\"'`*_]+$", "", re.sub(r"```\s*$", "", body))
-    if not end.endswith(_ENDS):
+    end = re.sub(r"[\s\"'`*_)]+$", "", re.sub(r"(?:\s*</[\w\-]+>)+\s*$", "", re.sub(r"```\s*$", "", body)))
+    if not end.endswith(_ENDS) or _open_ends(body):
         return "truncated"
     wanted = (prompt_lang or "").strip().lower()[:2] or language_of(prompt or "")
     spoken = language_of(body)

@@ -35,3 +35,13 @@ def test_table(spark):
     assert sorted(tuple(r) for r in pairs.find_defects(df).collect()) == [(1, "empty"), (4, "empty")]
     assert pairs.find_defects(df.limit(0)).count() == 0
     assert pairs.find_defects(df.withColumn("defect", df.prompt)).count() == 2
+
+
+@pytest.mark.parametrize("cut", ["Steps: 1. read the input. 2.", "- It reads q.\n- It runs q.\n-", "The value passes through sanitize(x)", "It is safe (see the filter above.", "It is <p>built from q. It is <b>not</b> escaped.", 'It is safe. <a href="x.', "It is **Unsafe as q is joined.", 'The page says "q is joined.', "Er sagt „q ist offen."])
+def test_cut_within_markup(cut):
+    assert pairs.defect_of(PROMPT, None, cut) == "truncated"
+
+
+@pytest.mark.parametrize("whole", ["Steps: 1. read the input. 2. run it.", "- It reads q.\n- It runs q.", "It passes through sanitize(x).", "It is safe (see above.)", "It writes a <script> tag into the page.", "<p>It is <b>not</b> escaped.</p>", "It is **unsafe**.", "It passes **kwargs on.", 'It says "q is joined."', 'A 5" field is joined.', "Er sagt „q ist offen“.", "The sink is in line 12.", "1) it reads q. 2) it runs q."])
+def test_whole_with_markup(whole):
+    assert pairs.defect_of(PROMPT, None, whole) is None
