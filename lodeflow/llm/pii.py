@@ -206,7 +206,10 @@ def find_pii(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     scores = _scores(scanned)
     enough = F.when(F.col("in_slot"), F.col("disclosure") >= DISCLOSURE).otherwise((F.col("disclosure") >= DISCLOSURE_ELSEWHERE) & (F.col("n_slot") >= SUPPORT_ELSEWHERE))
     keys = ["doc_id", "pii_type", "start_char", "end_char"]
-    names = named.join(scores, "term", "left").groupBy(*keys, "in_slot").agg(F.min(F.coalesce(enough, F.lit(False))).alias("ok")).where("ok")
+    judged = named.join(scores, "term", "left").groupBy(*keys, "in_slot").agg(F.min(F.coalesce(enough, F.lit(False))).alias("ok"), F.array_sort(F.array_distinct(F.first("terms"))).alias("who"))
+    # A name that holds in a slot is the same person's wherever all of it stands again.
+    persons = judged.where("in_slot and ok").select("who", F.lit(True).alias("known")).distinct()
+    names = judged.join(persons, "who", "left").where("ok or (not in_slot and known)")
     # Spans outside slots may overlap one another: of those that do, the first stays.
     before = F.max("end_char").over(Window.partitionBy("doc_id").orderBy("start_char", "end_char").rowsBetween(Window.unboundedPreceding, -1))
     free = names.where("not in_slot").withColumn("_before", before).where("_before is null or _before <= start_char")

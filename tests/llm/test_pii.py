@@ -51,3 +51,10 @@ def test_placeholders(spark):
     assert out == {"a": "x [EMAIL] y [PHONE]", "b": "é" * 50_000 + " [EMAIL]"}
     assert pii.find_pii(df.limit(0), "doc_id", "text").count() == 0
     assert pii.find_pii(df.withColumn("term", df.text).withColumn("pii_type", df.text), "doc_id", "text").count() == 3
+
+
+def test_one_slot_carries_the_whole_name(spark):
+    rows = ["Reported by Ilse Varnholt during the week.", "Then Ilse Varnholt called, and Varnholt, Ilse wrote.", "The Copper Lantern product.", *["The scanner of the team is the best of the scanners."] * 20]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    found = sorted((r.doc_id, rows[r.doc_id][r.start_char : r.end_char]) for r in pii.find_pii(df, "doc_id", "text").collect())
+    assert found == [(0, "Ilse Varnholt"), (1, "Ilse Varnholt"), (1, "Varnholt, Ilse")]
