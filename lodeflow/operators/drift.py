@@ -23,13 +23,17 @@ class Field:
     """A declared field.
 
     ``shape`` is a regex that the text of its values matches, if it has one; ``loose`` one that
-    the JSON text of the same value matches when it is written as another type.
+    the JSON text of the same value matches when it is written as another type. ``unit`` is a regex of
+    the unit that a number may carry in text; ``reader`` an expression over ``{raw}`` (JSON text) that reads
+    a value of another type as this field's text, null where it can't.
     """
 
     path: str
     kind: str
     shape: str | None = None
     loose: str | None = None
+    unit: str | None = None
+    reader: str | None = None
 
     @property
     def parent(self) -> str:
@@ -120,10 +124,18 @@ def _score_sql(node: Field, schema: DeclaredSchema) -> str:
     return f"case when {same} and {related} then 4 + int({near}) when {near} and {_plain('a.name')} = {mine} then 2 else 0 end"
 
 
-def parse_documents(df: DataFrame, body: str, schema: DeclaredSchema, prefix: str = "_") -> DataFrame:
-    """Add ``_fields`` (declared nodes and undeclared fields), ``_missing``, ``_renamed`` (declared -> found path).
+def _fits_sql(node: Field, kind: str) -> str:
+    """Whether a JSON kind is the declared one (null is no value of any; an integer is a number too)."""
+    return f"{kind} in " + ({NUMBER: "('number','int')"}.get(node.kind, f"('{node.kind}')"))
 
-    Damaged documents (null, empty, cut off, or no object) have null in all three. A byte order
+
+def enforce(df: DataFrame, body: str, schema: DeclaredSchema, prefix: str = "_") -> DataFrame:
+    """Enforce the declared schema: add ``_typed``, ``_rescue``, ``_missing`` and ``_renamed``.
+
+    ``_typed`` holds the fields of the declared JSON type (path -> text and raw JSON); ``_rescue`` all others, unknown
+    or of another type, with their path, kind, text and raw JSON; ``_missing`` the declared fields that aren't there, and ``_renamed``
+    those of them that a rescued field carries (declared -> found path). Null values are in none.
+    Damaged documents (null, empty, cut off, or no object) have null in all four. A byte order
     mark or blanks around the document do no harm.
     """
     doc = F.try_parse_json(F.regexp_replace(F.col(body), "^[\\uFEFF\\s]+|\\s+$", ""))
@@ -132,18 +144,25 @@ def parse_documents(df: DataFrame, body: str, schema: DeclaredSchema, prefix: st
     )
     entries = ", ".join(_entries_sql(f"{prefix}doc", p) for p in ["", *(n.path for n in schema.parents)])
     out = out.withColumn(f"{prefix}fields", F.expr(f"case when {prefix}doc is not null then concat({entries}) end"))
+    by_path: dict[str, list[str]] = {}
+    for n in schema.nodes:
+        by_path.setdefault(_fits_sql(n, "f.kind"), []).append(n.path)
+    fits = " or ".join(f"({kind} and f.path in ({', '.join(repr(p) for p in paths)}))" for kind, paths in by_path.items())
+    kept = "f.kind != 'null'"
+    out = out.withColumn(f"{prefix}rescue", F.expr(f"filter({prefix}fields, f -> {kept} and not ({fits}))"))
+    out = out.withColumn(f"{prefix}typed", F.expr(f"map_from_entries(transform(filter({prefix}fields, f -> {kept} and ({fits})), f -> struct(f.path, struct(f.text as text, f.raw as raw))))"))
+    out = out.withColumn(f"{prefix}there", F.expr(f"map_from_entries(transform({prefix}fields, f -> struct(f.path, f.kind)))"))
     declared = "array(" + ", ".join(f"'{n.path}'" for n in schema.nodes) + ")"
-    kinds = f"map_from_entries(transform({prefix}fields, f -> struct(f.path, f.kind)))"
-    out = out.withColumn(f"{prefix}kinds", F.expr(kinds))
-    out = out.withColumn(f"{prefix}extra", F.expr(f"filter({prefix}fields, f -> not array_contains({declared}, f.path) and f.kind != 'null')"))
     missing = ", ".join(
-        f"case when {prefix}kinds['{n.path}'] is null" + (f" and {prefix}kinds['{n.parent}'] = 'object'" if n.parent else "") + f" then '{n.path}' end" for n in schema.nodes
+        f"case when {prefix}there['{n.path}'] is null" + (f" and {prefix}there['{n.parent}'] = 'object'" if n.parent else "") + f" then '{n.path}' end" for n in schema.nodes
     )
     out = out.withColumn(f"{prefix}missing", F.expr(f"case when {prefix}doc is not null then array_compact(array({missing})) end"))
+    extra = f"filter({prefix}rescue, a -> not array_contains({declared}, a.path))"
     pairs = ", ".join(
         f"if(array_contains({prefix}missing, '{n.path}'), filter(transform({prefix}extra, a -> named_struct('score', {_score_sql(n, schema)}, 'declared', '{n.path}', 'found', a.path)), s -> s.score > 0), array())"
         for n in schema.nodes
     )
+    out = out.withColumn(f"{prefix}extra", F.expr(f"case when size({prefix}missing) > 0 then {extra} else array() end"))
     # Greedy matching of the best pairs first; each side is used once.
     out = out.withColumn(f"{prefix}pairs", F.expr(f"case when size({prefix}missing) > 0 and size({prefix}extra) > 0 then reverse(array_sort(flatten(array({pairs})))) end"))
     pick = (
@@ -151,61 +170,132 @@ def parse_documents(df: DataFrame, body: str, schema: DeclaredSchema, prefix: st
         " (acc, p) -> if(exists(acc, q -> q.declared = p.declared or q.found = p.found), acc, concat(acc, array(p))))"
     )
     out = out.withColumn(f"{prefix}renamed", F.expr(f"case when {prefix}doc is not null then map_from_entries(transform({pick}, p -> struct(p.declared, p.found))) end"))
-    return out.drop(f"{prefix}doc", f"{prefix}pairs")
+    return out.drop(*(f"{prefix}{c}" for c in ("doc", "fields", "there", "extra", "pairs")))
 
 
 def changes(df: DataFrame, keys: list[str], body: str, schema: DeclaredSchema) -> DataFrame:
     """One row per document and changed field: ``field_path``, ``change``.
 
-    removed, renamed, retyped or added. A change of an object is one row with nothing below it.
+    removed, renamed, retyped or added, as the rescue column of the enforced schema tells: what it holds under a
+    declared path (or one that carries a declared field) is retyped, what no declared field takes is added.
+    A change of an object is one row with nothing below it.
     Null values are no change; damaged documents give no rows. Re-delivered documents count
     once (the result is made distinct on the keys, after the bodies are gone).
     """
-    parsed = parse_documents(spread(df.select(*keys, body)), body, schema)
+    held = enforce(spread(df.select(*keys, body)), body, schema)
+    declared = "array(" + ", ".join(f"'{n.path}'" for n in schema.nodes) + ")"
+    # The declared path that a rescued one stands for, itself or by promotion.
+    carried = "map_from_entries(transform(map_entries(_renamed), e -> struct(e.value, e.key)))"
+    kinds = "map_from_arrays(array(" + ", ".join(f"'{n.path}'" for n in schema.nodes) + "), array(" + ", ".join(f"'{n.kind}'" for n in schema.nodes) + "))"
+    held = held.withColumn("_carried", F.expr(carried))
+    fits = f"(r.kind = {kinds}[_carried[r.path]] or (r.kind = 'int' and {kinds}[_carried[r.path]] = '{NUMBER}'))"
     lists = [
         "transform(filter(_missing, m -> not map_contains_key(_renamed, m)), m -> struct(m as field_path, 'removed' as change))",
         "transform(map_keys(_renamed), m -> struct(m as field_path, 'renamed' as change))",
-        "transform(filter(_extra, a -> not array_contains(map_values(_renamed), a.path)), a -> struct(a.path as field_path, 'added' as change))",
+        f"transform(filter(_rescue, r -> not array_contains({declared}, r.path) and _carried[r.path] is null), r -> struct(r.path as field_path, 'added' as change))",
+        f"transform(filter(_rescue, r -> array_contains({declared}, r.path) or (_carried[r.path] is not null and not {fits})), r -> struct(coalesce(_carried[r.path], r.path) as field_path, 'retyped' as change))",
     ]
-    for node in schema.nodes:
-        fits = {NUMBER: "('number','int','null')"}.get(node.kind, f"('{node.kind}','null')")
-        kind = f"coalesce(_kinds['{node.path}'], _kinds[_renamed['{node.path}']])"
-        lists.append(f"if({kind} not in {fits}, array(struct('{node.path}' as field_path, 'retyped' as change)), array())")
-    rows = parsed.select(*keys, F.explode(F.expr(f"concat({', '.join(lists)})")).alias("c"))
+    rows = held.select(*keys, F.explode(F.expr(f"concat({', '.join(lists)})")).alias("c"))
     return rows.select(*keys, "c.field_path", "c.change").distinct()
 
 
-def ingest(df: DataFrame, keys: list[str], body: str, schema: DeclaredSchema, rescue: str = "_rescued") -> DataFrame:
+_NUMBER = "[-+]?[0-9]+(?:[.][0-9]+)?(?:[eE][-+]?[0-9]+)?"
+
+
+def _readings_sql(rescue: str) -> str:
+    """What the values of a rescue column read as: path, kind, raw, text, unit, plain, as_int, as_double.
+
+    A number must be written out in full, with nothing but a unit behind it; one that the type can't hold exactly is null.
+    ``plain`` is true where nothing else stands around it.
+    """
+    text = "trim(r.text)"
+    digits = (
+        f"transform({rescue}, r -> named_struct('path', r.path, 'kind', r.kind, 'raw', r.raw, 'text', r.text, 'plain', r.text rlike '^{_NUMBER}$',"
+        f" 'unit', regexp_extract({text}, '^{_NUMBER}[ ]*([a-zA-Z]*)$', 1), 'digits', if(r.kind in ('string', 'int', 'number'), regexp_extract({text}, '^({_NUMBER})[ ]*[a-zA-Z]*$', 1), null)))"
+    )
+    cast = f"transform({digits}, r -> named_struct('r', r, 'exact', try_cast(r.digits as decimal(38, 9)), 'd', try_cast(r.digits as double), 'i', try_cast(r.digits as bigint)))"
+    return (
+        f"transform({cast}, c -> named_struct('path', c.r.path, 'kind', c.r.kind, 'raw', c.r.raw, 'text', c.r.text, 'plain', c.r.plain, 'unit', c.r.unit,"
+        " 'as_int', coalesce(c.i, if(c.exact = floor(c.exact), try_cast(c.exact as bigint), null)), 'as_double', if(try_cast(c.d as decimal(38, 9)) = c.exact or cast(c.d as string) = c.r.digits, c.d, null)))"
+    )
+
+
+def _replay_sql(leaf: Field, at: str) -> tuple[str, str]:
+    """The value of a reading as the declared type, null where it doesn't convert, and whether nothing is lost by it.
+
+    Scalars become the text they are written as; what a field's reader makes of another type keeps its original.
+    """
+    if leaf.kind in (INT, NUMBER):
+        value = f"{at}.as_{'int' if leaf.kind == INT else 'double'}"
+        unit = f"if({at}.unit = ''" + (f" or {at}.unit rlike '^(?i)(?:{leaf.unit})$'" if leaf.unit else "") + f", {value}, null)"
+        return unit, f"({at}.plain and {value} is not null)"
+    if leaf.kind == STRING:
+        read = leaf.reader.replace("{raw}", f"{at}.raw") if leaf.reader else "cast(null as string)"
+        scalar = f"if({at}.kind not in ('object', 'array'), {at}.text, null)"
+        return f"case when {at}.kind = 'string' then {at}.text when {at}.kind is not null then coalesce({read}, {scalar}) end", f"(({at}.kind in ('string', 'boolean') or ({at}.kind in ('int', 'number') and {read} is null)))"
+    return f"if({at}.kind = '{leaf.kind}', {at}.raw, null)", f"({at}.kind = '{leaf.kind}')"
+
+
+def ingest(df: DataFrame, keys: list[str], body: str, schema: DeclaredSchema, rescue: str = "_rescued", approved: dict[str, str] | None = None) -> DataFrame:
     """One consistent table: a typed column per declared leaf (dots as ``_``) and a rescue column.
 
-    A value comes from its declared place, from its renamed place (promotion), or from a value
-    of another type that converts without loss (replay), in this order. What finds no
-    typed column stays in the rescue column as JSON text by path, as do values that don't
-    convert. Damaged documents keep their keys with ``is_damaged`` true and null fields.
+    A value comes from its declared place, from the rescued field that carries it (promotion), and where it is
+    of another type from what that converts to (replay), in this order. ``approved`` names the promotions that may be made (found -> declared
+    path); with null all that are found are, as ``proposals`` lists them. The rescue column keeps, as JSON text by path, what finds no typed column,
+    what doesn't convert, and every original that isn't equal to its typed value after conversion. Damaged documents keep their keys
+    with ``is_damaged`` true and null fields. Of re-delivered documents (equal keys) one stays, the smallest by body digest.
     """
-    parsed = parse_documents(df, body, schema)
-    text = "map_from_entries(transform(_fields, f -> struct(f.path, f.text)))"
-    raw = "map_from_entries(transform(_fields, f -> struct(f.path, f.raw)))"
-    parsed = parsed.withColumn("_text", F.expr(text)).withColumn("_raw", F.expr(raw))
-    types = {INT: "bigint", NUMBER: "double"}
-    columns, kept = [], []
-    for leaf in schema.leaves:
-        place = f"coalesce(if(map_contains_key(_text, '{leaf.path}'), '{leaf.path}', null), _renamed['{leaf.path}'])"
-        name = leaf.path.replace(".", "_")
-        if leaf.kind in types:
-            number = f"regexp_extract(_text[{place}], '^\\\\s*(-?[0-9]+(?:\\\\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)', 1)"
-            whole = f"try_cast({number} as double)"
-            value = f"if({whole} = floor({whole}), try_cast({whole} as bigint), null)" if leaf.kind == INT else whole
-        else:
-            value = f"if(_kinds[{place}] in ('string') or '{leaf.kind}' != 'string', coalesce(_text[{place}], _raw[{place}]), null)"
-            if leaf.kind != STRING:
-                value = f"if(_kinds[{place}] = '{leaf.kind}', _raw[{place}], null)"
-        columns.append(F.expr(value).alias(name))
-        kept.append(f"struct({place} as path, {value} is not null as taken)")
-    taken = f"transform(filter(array({', '.join(kept)}), k -> k.path is not null and k.taken), k -> k.path)"
-    objects = "array(" + ", ".join(f"'{p.path}'" for p in schema.parents) + ")"
-    rescued = f"map_from_entries(transform(filter(_fields, f -> f.kind != 'null' and not array_contains({taken}, f.path) and not (array_contains({objects}, f.path) and f.kind = 'object')), f -> struct(f.path, f.raw)))"
-    return parsed.select(*keys, F.col("_fields").isNull().alias("is_damaged"), *columns, F.expr(f"to_json({rescued})").alias(rescue)).dropDuplicates(keys[:1])
+    held = enforce(spread(df.select(*keys, body)), body, schema).withColumn("_digest", F.xxhash64(F.col(body)))
+    if approved is not None:
+        allowed = "array(" + ", ".join(f"'{f} {d}'" for f, d in approved.items()) + ")"
+        held = held.withColumn("_renamed", F.expr(f"map_filter(_renamed, (d, f) -> array_contains(cast({allowed} as array<string>), f || ' ' || d))"))
+    held = held.withColumn("_readings", F.expr(_readings_sql("_rescue")))
+    held = held.withColumn("_by", F.expr("map_from_entries(transform(_readings, r -> struct(r.path, r)))"))
+    # The reading that fills each leaf: of its own place, else of the promoted one.
+    held = held.select("*", *(F.expr(f"coalesce(_by['{leaf.path}'], _by[_renamed['{leaf.path}']])").alias(f"_r{i}") for i, leaf in enumerate(schema.leaves)))
+    columns, taken, over = [], [], []
+    for i, leaf in enumerate(schema.leaves):
+        replayed, whole = _replay_sql(leaf, f"_r{i}")
+        own = f"_typed['{leaf.path}']"
+        first = {INT: f"try_cast({own}.text as bigint)", NUMBER: f"try_cast({own}.text as double)", STRING: f"{own}.text"}.get(leaf.kind, f"{own}.raw")
+        columns.append(F.expr(f"coalesce({first}, {replayed})").alias(leaf.path.replace(".", "_")))
+        taken.append(f"if({whole}, _r{i}.path, null)")
+        if leaf.kind == INT:  # an integer of more digits than the column holds
+            over.append(f"if({own} is not null and {first} is null, struct('{leaf.path}' as path, {own}.raw as raw), null)")
+    left = "transform(filter(_readings, r -> not array_contains(_taken, r.path)), r -> struct(r.path as path, r.raw as raw))"
+    held = held.withColumn("_taken", F.expr(f"array_compact(array({', '.join(taken)}))"))
+    rescued = F.expr(f"to_json(map_from_entries(concat({left}, array_compact(array({', '.join(over)})))))" if over else f"to_json(map_from_entries({left}))")
+    rows = held.select(*keys, F.col("_rescue").isNull().alias("is_damaged"), *columns, rescued.alias(rescue), "_digest")
+    names = [c for c in rows.columns if c not in keys and c != "_digest"]
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct("is_damaged", "_digest")).alias("_one"))
+    return one.select(*keys, "_one.*")
+
+
+def proposals(df: DataFrame, body: str, schema: DeclaredSchema) -> DataFrame:
+    """Promotions to approve: found path, declared path, and in how many documents the one carries the other."""
+    held = enforce(spread(df.select(body)), body, schema)
+    pairs = F.explode(F.expr("transform(map_entries(_renamed), e -> struct(e.value as found, e.key as declared))")).alias("p")
+    return held.select(pairs).groupBy("p.found", "p.declared").agg(F.count("*").alias("n_documents"))
+
+
+def promote(table: DataFrame, fields: list[Field], rescue: str = "_rescued") -> DataFrame:
+    """Promote approved fields of an ingested table: a typed column each, filled by replaying the rescue column.
+
+    No document is read again. Values that don't convert exactly stay in the rescue column, as do all other fields.
+    """
+    out = table.withColumn("_held", F.from_json(rescue, "map<string,string>"))
+    paths = "array(" + ", ".join(f"'{f.path}'" for f in fields) + ")"
+    parsed = f"transform(filter(map_entries(_held), e -> array_contains({paths}, e.key)), e -> struct(e.key as path, e.value as raw, try_parse_json(e.value) as v))"
+    entries = f"transform({parsed}, e -> struct(e.path as path, {_kind_sql('schema_of_variant(e.v)')} as kind, e.raw as raw, try_variant_get(e.v, '$', 'string') as text))"
+    out = out.withColumn("_by", F.expr(f"map_from_entries(transform({_readings_sql(entries)}, r -> struct(r.path, r)))"))
+    out = out.select("*", *(F.expr(f"_by['{f.path}']").alias(f"_r{i}") for i, f in enumerate(fields)))
+    done = []
+    for i, f in enumerate(fields):
+        value, whole = _replay_sql(f, f"_r{i}")
+        out = out.withColumn(f.path.replace(".", "_"), F.expr(value))
+        done.append(f"if({whole}, '{f.path}', null)")
+    kept = F.expr(f"to_json(map_filter(_held, (k, v) -> not array_contains(array_compact(array({', '.join(done)})), k)))")
+    return out.withColumn(rescue, kept).drop("_held", "_by", *(f"_r{i}" for i in range(len(fields))))
 
 
 def drift_report(found: DataFrame) -> DataFrame:
@@ -221,19 +311,24 @@ def schema_from_json(text: str) -> DeclaredSchema:
 _STAMP = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]"
 _EPOCH = "^[0-9]{10}([0-9]{3})?([.][0-9]+)?$"
 _VERSION = "^v?[0-9]+([.][0-9]+)+"
+_PARTS_READ = "coalesce(array_join(from_json({raw}, 'array<int>'), '.'), array_join(map_values(from_json({raw}, 'map<string,int>')), '.'))"
+_STAMP_READ = (
+    "case when {raw} rlike '^[0-9]{10}([.][0-9]+)?$' then date_format(timestamp_micros(try_cast(try_cast({raw} as decimal(20, 6)) * 1000000 as bigint)), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\")"
+    " when {raw} rlike '^[0-9]{13}$' then date_format(timestamp_millis(try_cast({raw} as bigint)), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\") end"
+)
 _VERSION_PARTS = '^[{]"major"|^\\\\[[0-9]+(,[0-9]+)+\\\\]$'
 #: The declared schema of the scan reports.
 REPORT_SCHEMA = DeclaredSchema(
     (
         Field("metadata.tool.name", STRING),
-        Field("metadata.tool.version", STRING, _VERSION, _VERSION_PARTS),
+        Field("metadata.tool.version", STRING, _VERSION, _VERSION_PARTS, reader=_PARTS_READ),
         Field("metadata.scan.id", STRING, "^scan-"),
         Field("metadata.scan.repository", STRING),
         Field("metadata.scan.status", STRING, "^(completed|partial|failed|running|pending|cancelled)$"),
-        Field("metadata.scan.started_at", STRING, _STAMP, _EPOCH),
-        Field("metadata.scan.completed_at", STRING, _STAMP, _EPOCH),
-        Field("metadata.scan.duration_seconds", NUMBER),
-        Field("metadata.generated_at", STRING, _STAMP, _EPOCH),
+        Field("metadata.scan.started_at", STRING, _STAMP, _EPOCH, reader=_STAMP_READ),
+        Field("metadata.scan.completed_at", STRING, _STAMP, _EPOCH, reader=_STAMP_READ),
+        Field("metadata.scan.duration_seconds", NUMBER, unit="s|secs?|seconds?"),
+        Field("metadata.generated_at", STRING, _STAMP, _EPOCH, reader=_STAMP_READ),
         Field("summary.files_scanned", INT),
         Field("summary.lines_scanned", INT),
         Field("summary.total_findings", INT),

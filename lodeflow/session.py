@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,11 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Where the cluster names none (tests on one machine) a temporary folder is set.
+    With a local master, where it may be unset (tests), a temporary folder is set. On a cluster a
+    folder of one machine would lose data, so an unset one is an error.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodeflow-", dir=os.environ.get("TMPDIR"))
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
@@ -52,24 +58,38 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: a lineage cut with column pruning."""
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lodeflow-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: a lineage cut with column pruning.
+
+    What is written stays until ``release`` or the end of the application.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    atexit.unregister(release)
+    atexit.register(release, spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Below so many bytes of input for each core, compute-heavy stages are spread over all cores first.
-SPREAD_BYTES = 4 << 20
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; results that read them can't be used any more."""
+    with contextlib.suppress(Exception):  # the session may be gone
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: The option that names into how many partitions inputs are spread before compute-heavy row-local work.
+SPREAD = "lodeflow.spread.partitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before work that costs far more than moving it.
+    """Spread the rows over as many partitions as the option SPREAD says; unset, they stay where they are.
 
-    A small table is often one file and so one task. Only the planner's size estimate is looked at;
-    larger inputs have splits enough and are left as they are, without a shuffle.
+    For inputs that are one small file, and so one task, on many cores. Nothing is guessed from sizes.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+    wanted = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(wanted)) if wanted else df

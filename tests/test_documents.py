@@ -80,6 +80,77 @@ def test_ingest_replays(spark):
     assert out[3].is_damaged and out[3].metadata_tool_name is None
 
 
+def test_replay_loses_nothing(spark):
+    edits = {
+        1: changed(summary__lines_scanned="1,234"),
+        2: changed(summary__lines_scanned="12 of 40"),
+        3: changed(metadata__scan__duration_seconds="5 min"),
+        4: changed(metadata__scan__duration_seconds="9007199254740993"),
+        5: changed(summary__lines_scanned="9007199254740993"),
+        6: changed(summary__lines_scanned=2.0),
+        7: changed(summary__lines_scanned=2.5),
+        8: changed(metadata__tool__version=3),
+        9: changed(metadata__scan__duration_seconds="5 s"),
+        10: changed(summary__lines_scanned=99999999999999999999),
+        11: changed(metadata__scan__started_at=1735689600, metadata__tool__version=[1, 2, 3]),
+        12: changed(summary__lines_scanned=True, metadata__scan__status={"a": 1}),
+    }
+    rows = [(k, json.dumps(d)) for k, d in edits.items()]
+    out = {r.report_id: r for r in drift.ingest(spark.createDataFrame(rows, "report_id long, body string"), ["report_id"], "body", drift.REPORT_SCHEMA).collect()}
+    held = {k: json.loads(r["_rescued"]) for k, r in out.items()}
+    lines, seconds = "summary.lines_scanned", "metadata.scan.duration_seconds"
+    assert (out[1].summary_lines_scanned, held[1]) == (None, {lines: '"1,234"'})
+    assert (out[2].summary_lines_scanned, held[2]) == (None, {lines: '"12 of 40"'})
+    assert (out[3].metadata_scan_duration_seconds, held[3]) == (None, {seconds: '"5 min"'})
+    assert (out[4].metadata_scan_duration_seconds, held[4]) == (None, {seconds: '"9007199254740993"'})
+    assert (out[5].summary_lines_scanned, held[5]) == (9007199254740993, {})
+    assert (out[6].summary_lines_scanned, held[6]) == (2, {})
+    assert out[7].summary_lines_scanned is None and list(held[7]) == [lines]
+    assert (out[8].metadata_tool_version, held[8]) == ("3", {})
+    assert (out[9].metadata_scan_duration_seconds, held[9]) == (5.0, {seconds: '"5 s"'})
+    assert out[10].summary_lines_scanned is None and list(held[10]) == [lines]
+    assert out[11].metadata_scan_started_at.startswith("2025-01-01T00:00:00") and out[11].metadata_tool_version == "1.2.3"
+    assert set(held[11]) == {"metadata.scan.started_at", "metadata.tool.version"}
+    assert out[12].summary_lines_scanned is None and set(held[12]) == {lines, "metadata.scan.status"}
+
+
+def test_only_approved_fields_are_promoted(spark):
+    doc = changed(metadata__tool__version=KeyError, metadata__tool__semver="1.0.0", metadata__ci={"job": 1}, metadata__host="7")
+    df = spark.createDataFrame([(1, json.dumps(doc))], "report_id long, body string")
+    assert [tuple(r) for r in drift.proposals(df, "body", drift.REPORT_SCHEMA).collect()] == [("metadata.tool.semver", "metadata.tool.version", 1)]
+    none = drift.ingest(df, ["report_id"], "body", drift.REPORT_SCHEMA, approved={})
+    row = none.first()
+    assert row.metadata_tool_version is None and json.loads(row["_rescued"]) == {"metadata.tool.semver": '"1.0.0"', "metadata.ci": '{"job":1}', "metadata.host": '"7"'}
+    some = drift.ingest(df, ["report_id"], "body", drift.REPORT_SCHEMA, approved={"metadata.tool.semver": "metadata.tool.version"}).first()
+    assert some.metadata_tool_version == "1.0.0" and set(json.loads(some["_rescued"])) == {"metadata.ci", "metadata.host"}
+    later = drift.promote(none, [drift.Field("metadata.host", drift.INT), drift.Field("metadata.tool.semver", drift.INT)]).first()
+    assert later.metadata_host == 7 and later.metadata_tool_semver is None and set(json.loads(later["_rescued"])) == {"metadata.ci", "metadata.tool.semver"}
+
+
+def test_deep_nesting_and_arrays_of_end_points(spark):
+    doc = {"x": 1}
+    for _ in range(40):
+        doc = {"d": [doc]}
+    rows = [(1, json.dumps(doc)), (2, json.dumps({"findings": [{"source": [{"method": "f"}, {"method": "g"}], "sink": "h"}]})), (3, '{"a": NaN}'), (4, '{"a": "\\ud800b"}')]
+    nodes = shred.shred(spark.createDataFrame(rows, "report_id long, body string"), ["report_id"], "body", embedded=shred.EMBEDDED)
+    assert nodes.where("report_id = 1").count() == 82
+    assert sorted((r.node, r.node_no, r.name) for r in shred.report_parts(nodes).collect()) == [("sink", 0, "h"), ("source", 0, "f"), ("source", 1, "g")]
+    assert {r.report_id for r in nodes.collect()} == {1, 2, 4}
+
+
+def test_verification_and_slice_keep_their_links(spark):
+    finding = {
+        "verification": {"verdict": "uncertain", "confidence": 0.5, "attacker": {"exploitable": True, "steps": ["a"]}, "defender": {"safe": False, "lines": []}},
+        "slice": {"lines": [{"line_number": 3, "code": "c", "is_trace": True, "tainted_variables": ["v", "w"]}, None]},
+    }
+    rows = [(1, json.dumps({"metadata": {"tool": {"version": "2"}}, "findings": [None, finding]}))]
+    nodes = shred.shred(spark.createDataFrame(rows, "report_id long, body string"), ["report_id"], "body", embedded=shred.EMBEDDED)
+    assert sorted(map(tuple, shred.report_verifications(nodes).collect()), key=repr) == [
+        (1, 1, "attacker", None, None, True, '["a"]'), (1, 1, "defender", None, None, False, None), (1, 1, "verification", "uncertain", 0.5, None, None)]
+    assert [tuple(r) for r in shred.report_slices(nodes).collect()] == [(1, 1, 0, 3, "c", True, '["v","w"]')]
+    assert [tuple(r) for r in shred.report_values(nodes).collect()] == [(1, "metadata.tool.version", "2")]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "report_id long, body string")
     assert drift.changes(empty, ["report_id"], "body", drift.REPORT_SCHEMA).count() == 0
