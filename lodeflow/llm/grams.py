@@ -75,7 +75,7 @@ def _runs(tree) -> list[list[str]]:
 
 
 def required_grams(pattern: str) -> list[list[str]]:
-    """Alternatives of grams (trigrams; shorter runs as they are) one of which any match contains whole.
+    """Alternatives of grams (trigrams; of shorter runs the signs, or where nothing else is there the pairs) one of which any match contains whole.
 
     Of each literal run the first, middle and last trigram are required: more would add postings
     but hardly remove candidates.
@@ -86,6 +86,11 @@ def required_grams(pattern: str) -> list[list[str]]:
     for runs in _runs(sre_p.parse(pattern)):
         grams = {run[i : i + 3] for run in runs if len(run) >= 3 for i in {0, (len(run) - 3) // 2, len(run) - 3}}
         grams |= {run for run in runs if 0 < len(run) < 3 and not re.fullmatch(r"[\s\w=:\"'.,;\-]+", run)}
-        found.add(frozenset(grams))
+        found.add(frozenset(grams or {run for run in runs if len(run) == 2}))
     least = [f for f in found if not any(g < f for g in found)]
     return sorted(sorted(f) for f in least)
+
+
+def folded(text: str) -> str:
+    """The text as the index sees it: letters that regexes take for equal, whatever the case, are one."""
+    return text.lower() if text.isascii() else text.casefold().replace("\u0131", "i").replace("\u0307", "")

@@ -19,20 +19,25 @@ def _query(fn):
 _CODE = (("training_examples", "example_id", "code_context"), ("trace_steps", "step_id", "code_snippet"))
 
 
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [secrets.records(table(spark, sf_dir, name), name, key, text) for name, key, text in _CODE]
+    return rows[0].unionByName(rows[1])
+
+
 @_query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credential values in the code of training examples and trace steps."""
-    found = [
-        secrets.find_secrets(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("record_table"), "record_id", "secret_start", "secret_end") for name, key, text in _CODE
-    ]
-    return found[0].unionByName(found[1])
+    return secrets.find_secrets(_code(spark, sf_dir))
 
 
 @_query
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The code of training examples and trace steps with credentials blanked out."""
-    rows = [table(spark, sf_dir, name).select(F.lit(name).alias("record_table"), F.col(key).cast("bigint").alias("record_id"), F.col(text).alias("code")) for name, key, text in _CODE]
-    return secrets.redact(rows[0].unionByName(rows[1]), "code").select("record_table", "record_id", "redacted").distinct()
+    """The code of training examples and trace steps with credentials blanked out; records without code keep null."""
+    empty = [
+        table(spark, sf_dir, name).where(F.coalesce(F.length(text), F.lit(0)) == 0).select(F.lit(name).alias("record_table"), F.col(key).cast("bigint").alias("record_id"), F.col(text).alias("redacted")).distinct()
+        for name, key, text in _CODE
+    ]
+    return secrets.redact_records(_code(spark, sf_dir)).unionByName(empty[0]).unionByName(empty[1])
 
 
 @_query

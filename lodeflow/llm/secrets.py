@@ -1,17 +1,22 @@
-"""Credentials in code: a trigram index names candidates, detection regexes verify only those."""
+"""Credentials in code: a trigram index names candidates, detection regexes verify only those.
+
+The index is a table of postings (gram, chunk), written once; the grams are those that the detection regexes require. The
+postings of a regex are intersected in Spark, and only texts of candidates are read by the regexes that named them.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lodeflow.llm.grams import required_grams
-from lodeflow.session import spread
+from lodeflow.llm.grams import folded, required_grams
+from lodeflow.session import spread, written
 
 # Names under which credentials stand, words that are no credential, and token forms.
 NAME = (
@@ -29,8 +34,13 @@ PLACEHOLDER = (
     r"|str|string|number|boolean|bool|any|bytes|object|(?:vault|env|ssm|secretsmanager|arn|keyring|op)[:/].*|.*\{\{.*\}\}.*|.*_here)$"
 )
 FORMS = (
-    r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    r"A(?:KI|SI)A[0-9A-Z]{16}(?![0-9A-Za-z])",
     r"gh[pousr]_[0-9A-Za-z]{20,}",
+    r"github_pat_[0-9A-Za-z_]{22,}",
+    r"npm_[0-9A-Za-z]{30,}",
+    r"pypi-[0-9A-Za-z_\-]{16,}",
+    r"SG\.[0-9A-Za-z_\-]{16,}\.[0-9A-Za-z_\-]{16,}",
+    r"rk_live_[0-9A-Za-z]{8,}",
     r"zk_(?:live|test)_[0-9A-Za-z]{8,}",
     r"eyJ[0-9A-Za-z_\-]{8,}\.eyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}",
     r"xox[abprs]-[0-9A-Za-z\-]{10,}",
@@ -38,20 +48,19 @@ FORMS = (
     r"sk_live_[0-9A-Za-z]{8,}",
     r"glpat-[0-9A-Za-z_\-]{16,}",
 )
+#: Shorter values let no one in.
+LEAST_VALUE = 4
+# Words of messages: a value of several words is no passphrase if it holds one.
+PROSE = r"(?i)\b(?:the|a|an|is|are|was|be|must|should|may|can(?:not)?|please|enter|invalid|required?|missing|your|my|for|to|and|or|of|in|on|at|by|not|no|wrong|failed|error|expired|forgot|reset|with|from|login|log|sign|user|default|see|set|use)\b"
 QUOTED = r"(?:\"(?P<a>[^\"\n]*)\"|'(?P<b>[^'\n]*)'|`(?P<c>[^`\n]*)`)"
 
 
 @dataclass(frozen=True)
 class Detector:
-    """A detection regex whose filled named group (or whole match) is the credential.
-
-    ``gate`` is the regex that the required grams come from, if the pattern's own are too weak;
-    any text the pattern matches in is matched by the gate.
-    """
+    """A detection regex whose filled named group (or whole match) is the credential."""
 
     name: str
     pattern: str
-    gate: str | None = None
     named: bool = False
 
 
@@ -61,21 +70,21 @@ _PATH = r"(?-i:\S*/|[a-z_\-]+(?:\.[a-z]{1,5})?[,;)]?(?:\s|$)|\d+[.,;)]?(?:\s|$))
 DETECTORS = (
     Detector("private_key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"),
     Detector("assignment", _ASSIGN + QUOTED, named=True),
-    Detector("short_name", r"(?i)(?P<name>\b(?:\w*[_\W])?pw)[\"']?\s*(?:===?|!==?|=|:)\s*" + QUOTED, gate=r"(?i)pw[ \t\"'=:!]"),
-    Detector("camel_pw", r"(?P<name>\b\w*[a-z](?:Pw|Pwd|Pass))[\"']?\s*(?:===?|!==?|=|:)\s*" + QUOTED, gate=r"(?i)(?:pw[ \t\"'=:!]|pass|pwd)"),
-    Detector("pieces", r"(?i)(?P<name>\b[\w.]*(?:key|" + NAME + r")\w*)\s*[=:]\s*(?:\"(?P<a>[^\"\n]+\"\s*(?:\+|\.|\\\n)\s*\"[^\"\n]+(?:\"\s*\+\s*\"[^\"\n]+)*)\"|'(?P<b>[^'\n]+'\s*(?:\+|\.|\\\n)\s*'[^'\n]+(?:'\s*\+\s*'[^'\n]+)*)')", gate=r"(?i)(?:key|tok|pass|pwd|secret|cred)"),
+    Detector("short_name", r"(?i)(?P<name>\b(?:\w*[_\W])?pw)[\"']?\s*(?:===?|!==?|=|:)\s*" + QUOTED),
+    Detector("camel_pw", r"(?P<name>\b\w*[a-z](?:Pw|Pwd|Pass))[\"']?\s*(?:===?|!==?|=|:)\s*" + QUOTED),
+    Detector("pieces", r"(?i)(?P<name>\b[\w.]*(?:key|" + NAME + r")\w*)\s*[=:]\s*(?:\"(?P<a>[^\"\n]+\"\s*(?:\+|\.|\\\n)\s*\"[^\"\n]+(?:\"\s*\+\s*\"[^\"\n]+)*)\"|'(?P<b>[^'\n]+'\s*(?:\+|\.|\\\n)\s*'[^'\n]+(?:'\s*\+\s*'[^'\n]+)*)')"),
     Detector("argument", r"(?i)[\"'](?P<name>[\w.\-]*" + NAME + r"\w*)[\"']\s*,\s*" + QUOTED, named=True),
     Detector("client", r"\b\w*(?:Client|Session|Api|connect|Connection)\w*\(\s*[\"'][^\"'\n]*[\"']\s*,\s*" + QUOTED),
     Detector("export", r"(?im)(?:^|\s)(?:export|set|env)\s+(?P<name>\w*" + NAME + r"\w*)=(?P<a>[^\s\"'`;&|]+)", named=True),
     Detector("property", r"(?im)^[ \t]*(?:-[ \t]+)?(?P<name>[\w.\-]*" + NAME + r"\w*)[ \t]*(?::[ \t]+|(?<=[A-Z])=)(?P<a>[^\s\"'`;,(\[{]+)[ \t]*(?:#.*)?$", named=True),
-    Detector("url_user", r"[a-z][a-z0-9+.\-]*://[^\s:/@\"'`]*:(?P<a>[^\s@\"'`/]+)@", gate=r"://.*@"),
-    Detector("url_query", r"(?i)[?&](?P<name>(?:[\w\-]*(?:key|token|sig|signature|secret|password|pass|auth|code)))=(?P<a>[^&\s\"'`#]{6,})", gate=r"(?i)(?:key|token|sig|signature|secret|password|pass|auth|code)=.*"),
-    Detector("scheme", r"(?i)\b(?:basic|bearer|token|apikey)\s+(?P<a>[0-9A-Za-z+/=._~\-]{10,})", gate=r"(?i)(?:basic|bearer|token|apikey)\s"),
-    Detector("sql", r"(?i)\b(?:identified\s+by|(?:with|set|encrypted)\s+password|password\s+(?:to|for\s+\S+))\s*=?\s*" + QUOTED, gate=r"(?i)(?:identified|password)"),
+    Detector("url_user", r"[a-z][a-z0-9+.\-]*://[^\s:/@\"'`]*:(?P<a>[^\s@\"'`/]+)@"),
+    Detector("url_query", r"(?i)[?&](?P<name>(?:[\w\-]*(?:key|token|sig|signature|secret|password|pass|auth|code)))=(?P<a>[^&\s\"'`#]{6,})"),
+    Detector("scheme", r"(?i)\b(?:basic|bearer|token|apikey)\s+(?P<a>[0-9A-Za-z+/=._~\-]{10,})"),
+    Detector("sql", r"(?i)\b(?:identified\s+by|(?:with|set|encrypted)\s+password|password\s+(?:to|for\s+\S+))\s*=?\s*" + QUOTED),
     Detector("option", r"(?i)--(?:password|passwd|pass|pwd|token|secret|api-key|apikey)(?:=|\s+)(?P<a>[^\s\"'`]+)"),
-    Detector("mysql_option", r"\b(?:mysql|mysqldump|mysqladmin|mariadb|sshpass)\b[^\"'`\n]*?\s-p(?P<a>[^\s\"'`\-][^\s\"'`]*)", gate=r"(?i)(?:mysql|mariadb|sshpass)"),
-    Detector("comment", r"(?im)(?:#|//|/\*|--|\*).*?\b(?:logins?|creds?|credentials|tmp|temp|account|user|staging)\b[^:\n]*:[ \t]*[^\s/]+(?:[ \t]+/[ \t]*|/[ \t]+|/(?!" + _PATH + r"))(?P<a>[^\s/]+)", gate=r"(?i)(?:login|cred|tmp|temp|account|user|staging).*/"),
-    *(Detector(f"form_{i}", rf"(?<![0-9A-Za-z_\-])(?P<a>{form})", gate=form) for i, form in enumerate(FORMS)),
+    Detector("mysql_option", r"\b(?:mysql|mysqldump|mysqladmin|mariadb|sshpass)\b[^\"'`\n]*?\s-p(?P<a>[^\s\"'`\-][^\s\"'`]*)"),
+    Detector("comment", r"(?im)(?:#|//|/\*|--|\*).*?\b(?:logins?|creds?|credentials|tmp|temp|account|user|staging)\b[^:\n]*:[ \t]*[^\s/]+(?:[ \t]+/[ \t]*|/[ \t]+|/(?!" + _PATH + r"))(?P<a>[^\s/]+)"),
+    *(Detector(f"form_{i}", rf"(?<![0-9A-Za-z_\-])(?P<a>{form})") for i, form in enumerate(FORMS)),
 )
 
 
@@ -87,7 +96,7 @@ def _words_of(name: str) -> str:
 def _is_secret(value: str, name: str, detector: Detector) -> bool:
     """Whether the value is a live literal rather than a placeholder, a reference or a digest."""
     joined = re.sub(r"[\"']\s*(?:\+|\.|\\\n)\s*[\"']", "", value) if detector.name == "pieces" else value
-    if len(joined.strip()) < 4 or re.match(PLACEHOLDER, joined.strip()):
+    if len(joined.strip()) < LEAST_VALUE or re.match(PLACEHOLDER, joined.strip()):
         return False
     if name and re.search(NOT_NAMES, _words_of(name)):
         return False
@@ -97,7 +106,9 @@ def _is_secret(value: str, name: str, detector: Detector) -> bool:
         return False
     if detector.name in ("client", "argument") and re.search(r"\s|^[a-z_]+$|^[a-z]+(?:[./:][a-z_]+)+$|^[A-Z_]+$", joined):
         return False
-    if detector.name in ("assignment", "short_name", "camel_pw", "scheme") and re.search(r"^\s*$|^[a-z_]+/[a-z_/]+$|\s.*\s", joined):
+    if detector.name in ("assignment", "short_name", "camel_pw", "scheme") and (
+        re.search(r"^\s*$|^[a-z_]+/[a-z_/]+$", joined) or (re.search(r"\s\S.*\s", joined) and (re.search(PROSE, joined) or not re.fullmatch(r"[\w.\-!@#$%^&*+]+(?: [\w.\-!@#$%^&*+]+)+", joined)))
+    ):
         return False
     if detector.name in ("scheme", "url_query") and not re.search(r"[0-9]", joined) and len(set(joined)) < 8:
         return False
@@ -119,7 +130,10 @@ def find_spans(text: str, detectors: list[int] | None = None) -> list[tuple[int,
                 continue
             name = groups.get("name") or ""
             if name:
-                name = _NAME_HEAD.search(text, max(0, m.start("name") - 64), m.start("name"))[0] + name
+                head = m.start("name")
+                while head and (text[head - 1].isalnum() or text[head - 1] in "_.-"):
+                    head -= 1
+                name = text[head : m.start("name")] + name
             if value is None or _is_secret(text[start:end], name, detector):
                 spans.append((start, end))
     spans.sort(key=lambda s: (s[0] - s[1], s[0]))
@@ -131,7 +145,6 @@ def find_spans(text: str, detectors: list[int] | None = None) -> list[tuple[int,
 
 
 _CACHE: dict[int, re.Pattern] = {}
-_NAME_HEAD = re.compile(r"[\w.\-]*\Z")
 
 
 def _compiled(i: int) -> re.Pattern:
@@ -140,73 +153,127 @@ def _compiled(i: int) -> re.Pattern:
     return _CACHE[i]
 
 
+#: Grams in one word of a bitmap.
+WORD = 63
+
+
 class GramIndex:
-    """The dictionary of required grams: postings of a chunk as one bitmap, alternatives as bit masks."""
+    """The dictionary of required grams, and the alternatives of each detector as bit masks over it."""
 
     def __init__(self) -> None:
-        required = [required_grams(d.gate or d.pattern) for d in DETECTORS]
+        required = [required_grams(d.pattern) for d in DETECTORS]
         self.grams = sorted({g for alternatives in required for a in alternatives for g in a})
         bit = {g: 1 << i for i, g in enumerate(self.grams)}
         self.alternatives = [[sum(bit[g] for g in a) for a in alternatives] for alternatives in required]
         self.automaton = ahocorasick.Automaton()
-        for g, b in bit.items():
-            self.automaton.add_word(g, b)
+        for i, g in enumerate(self.grams):
+            self.automaton.add_word(g, i)
         self.automaton.make_automaton()
 
-    def postings(self, text: str) -> int:
-        """The bitmap of the grams that a chunk holds, whatever the case."""
-        found = 0
-        for _, b in self.automaton.iter(text.lower()):
-            found |= b
-        return found
+    def postings(self, text: str) -> set[int]:
+        """The numbers of the grams that a chunk holds, whatever the case."""
+        return {i for _, i in self.automaton.iter(folded(text))}
 
-    def detectors(self, found: int) -> list[int]:
+    def detectors(self, text: str) -> list[int]:
         """The detectors for which the chunk lies in all postings of some alternative."""
+        found = sum(1 << i for i in self.postings(text))
         return [i for i, masks in enumerate(self.alternatives) if any(found & m == m for m in masks)]
 
 
-def gram_postings(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """The index as a table: gram, record_id; to be written once and searched by many patterns.
+def records(df: DataFrame, table: str, record_id: str, text: str) -> DataFrame:
+    """The texts that are searched: record_table, record_id, text, chunk.
 
-    A chunk is a whole record text; null and empty texts have no postings.
+    A chunk is a whole text, as a credential may run over many lines; ``chunk`` is its key in the index. Null and empty texts are left out.
     """
+    rows = df.where(F.length(F.col(text)) > 0).select(F.lit(table).alias("record_table"), F.col(record_id).cast("bigint").alias("record_id"), F.col(text).alias("text"))
+    return rows.withColumn("chunk", F.xxhash64("record_table", "record_id", "text"))
+
+
+def gram_postings(rows: DataFrame) -> DataFrame:
+    """The index of some records: gram, chunk; written once, then searched by any pattern whose grams are in the dictionary."""
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = GramIndex()
         for batch in batches:
-            rows = []
-            for r, t in zip(batch["record_id"], batch["text"], strict=True):
-                found = index.postings(t)
-                rows += [(g, r) for i, g in enumerate(index.grams) if found >> i & 1]
-            yield pd.DataFrame(rows, columns=["gram", "record_id"])
+            chunks, grams = [], []
+            for chunk, text in zip(batch["chunk"], batch["text"], strict=True):
+                found = index.postings(text)
+                chunks += [chunk] * len(found)
+                grams += found
+            yield pd.DataFrame({"chunk": pd.Series(chunks, dtype="int64"), "gram": pd.Series(grams, dtype="int16")})
 
-    chunks = df.where(F.length(F.col(text)) > 0).select(F.col(record_id).cast("bigint").alias("record_id"), F.col(text).alias("text"))
-    return chunks.mapInPandas(post, "gram string, record_id bigint").distinct()
+    return spread(rows.select("chunk", "text")).mapInPandas(post, "chunk bigint, gram smallint")
 
 
-def find_secrets(df: DataFrame, record_id: str, text: str) -> DataFrame:
-    """One row per credential: record_id, secret_start, secret_end (characters from 0, end exclusive).
+def _in_all(masks: list[int], words: int) -> Column:
+    """Whether the bitmap ``w0``, ``w1``, ... holds all bits of one of the masks."""
+    low = (1 << WORD) - 1
+    one = lambda m: reduce(Column.__and__, (F.col(f"w{k}").bitwiseAND(F.lit(part)) == part for k in range(words) if (part := m >> WORD * k & low)))
+    return reduce(Column.__or__, map(one, masks))
 
-    The postings are kept chunk by chunk as bitmaps, so that intersecting them needs no shuffle,
-    and only chunks in the intersection are verified by the detectors that named them. Re-delivered
-    records count once; null and empty texts give no rows.
+
+def candidates(postings: DataFrame) -> DataFrame:
+    """Intersect the postings: chunk, detectors (those for which the chunk is in all postings of some alternative).
+
+    Postings are combined to a bitmap per chunk before the shuffle; the masks they are compared with are the dictionary's.
     """
+    index = GramIndex()
+    words = len(index.grams) // WORD + 1
+    bit = F.expr(f"shiftleft(1L, gram % {WORD})")
+    maps = postings.groupBy("chunk").agg(*(F.bit_or(F.when(F.floor(F.col("gram") / WORD) == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"w{k}") for k in range(words)))
+    named = F.array_compact(F.array(*(F.when(_in_all(masks, words), F.lit(i)) for i, masks in enumerate(index.alternatives))))
+    return maps.select("chunk", named.alias("detectors")).where(F.size("detectors") > 0)
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = GramIndex()
+
+def verify(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """One row per credential in the candidates' texts: record_table, record_id, secret_start, secret_end.
+
+    Rows without candidates' keys fall out in the join; no other text is read by a regex. Re-delivered records count once.
+    """
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for r, t in zip(batch["record_id"], batch["text"], strict=True):
-                if (found := index.postings(t)) and (chosen := index.detectors(found)):
-                    rows += [(r, s, e) for s, e in find_spans(t, chosen)]
-            yield pd.DataFrame(rows, columns=["record_id", "secret_start", "secret_end"])
+            found = [(t, r, s, e) for t, r, x, d in zip(batch["record_table"], batch["record_id"], batch["text"], batch["detectors"], strict=True) for s, e in find_spans(x, list(d))]
+            yield pd.DataFrame(found, columns=["record_table", "record_id", "secret_start", "secret_end"]).astype({"record_id": "Int64"})
 
-    chunks = df.where(F.length(F.col(text)) > 0).select(F.col(record_id).cast("bigint").alias("record_id"), F.col(text).alias("text"))
-    return spread(chunks).mapInPandas(verify, "record_id bigint, secret_start int, secret_end int").distinct()
+    chosen = rows.join(named, "chunk").select("record_table", "record_id", "text", "detectors")
+    return chosen.mapInPandas(search, "record_table string, record_id bigint, secret_start int, secret_end int").distinct()
+
+
+def find_secrets(rows: DataFrame) -> DataFrame:
+    """Credentials in ``records``: record_table, record_id, secret_start, secret_end (characters from 0, end exclusive).
+
+    The postings are written once, intersected, and the candidates verified. Records with a null id are searched too.
+    """
+    return verify(rows, candidates(written(gram_postings(rows), "grams")))
+
+
+def redact_records(rows: DataFrame, mark: str = "REDACTED") -> DataFrame:
+    """record_table, record_id, redacted: all records, the credentials of candidates blanked out; re-deliveries once.
+
+    Line breaks within a credential stay, so that line numbers hold. Texts that aren't candidates never leave the JVM.
+    """
+    named = candidates(written(gram_postings(rows), "grams"))
+    joined = rows.join(named, "chunk", "left").dropDuplicates(["chunk", "record_table", "record_id"])
+
+    def blank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [_blanked(x, list(d), mark) for x, d in zip(batch["text"], batch["detectors"], strict=True)]
+            yield batch[["record_table", "record_id"]].astype({"record_id": "Int64"}).assign(redacted=texts)
+
+    plain = joined.where("detectors is null").select("record_table", "record_id", F.col("text").alias("redacted"))
+    chosen = joined.where("detectors is not null").select("record_table", "record_id", "text", "detectors")
+    return plain.unionByName(chosen.mapInPandas(blank, "record_table string, record_id bigint, redacted string"))
+
+
+def _blanked(text: str, detectors: list[int], mark: str) -> str:
+    for s, e in reversed(find_spans(text, detectors)):
+        text = text[:s] + mark + "\n" * text[s:e].count("\n") + text[e:]
+    return text
 
 
 def redact(df: DataFrame, text: str, out: str = "redacted", mark: str = "REDACTED") -> DataFrame:
-    """Add the text with every credential value replaced by a mark; code around it stays as it was.
+    """Add the text of each row with every credential value replaced by a mark, for streams and other texts without an index.
 
     Line breaks within a private key stay, so that line numbers hold. Null stays null.
     """
@@ -215,11 +282,6 @@ def redact(df: DataFrame, text: str, out: str = "redacted", mark: str = "REDACTE
     def blank(texts: pd.Series) -> pd.Series:
         index = GramIndex()
 
-        def one(t: str) -> str:
-            for s, e in reversed(find_spans(t, index.detectors(index.postings(t)))):
-                t = t[:s] + mark + "\n" * t[s:e].count("\n") + t[e:]
-            return t
-
-        return texts.map(one, na_action="ignore")
+        return texts.map(lambda t: _blanked(t, index.detectors(t), mark), na_action="ignore")
 
     return df.withColumn(out, blank(F.col(text)))
