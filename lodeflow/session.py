@@ -62,17 +62,18 @@ def _tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lodeflow-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: a lineage cut with column pruning.
-
-    What is written stays until ``release`` or the end of the application.
-    """
-    spark = df.sparkSession
-    path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there stays until ``release`` or the end of the application."""
     atexit.unregister(release)
     atexit.register(release, spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write a table to a new folder and read it back: a lineage cut with column pruning."""
+    path = new_folder(df.sparkSession, name)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
