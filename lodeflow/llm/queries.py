@@ -73,13 +73,20 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of new batches that repeat an accepted entry."""
-    return history.link(table(spark, sf_dir, "baseline_entries"))[0]
+    return history.found(history.link(table(spark, sf_dir, "baseline_entries")))
 
 
 @_query
 def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted entries with the last_seen that their repeats moved on."""
-    return history.link(table(spark, sf_dir, "baseline_entries"))[1]
+    """Accepted entries with their cluster and the last_seen that their repeats moved on."""
+    return history.clusters(history.link(table(spark, sf_dir, "baseline_entries")))
+
+
+@_query
+def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New entries that repeat none by the rule, but nearly do by the learned weights."""
+    entries = table(spark, sf_dir, "baseline_entries")
+    return history.near_duplicates(entries, history.link(entries))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:

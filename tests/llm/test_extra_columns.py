@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodeflow.llm import history, packing, pairs, pii, secrets, splits
-from tests.llm.test_history import SCHEMA
+from tests.llm.test_history import SCHEMA, both
 
 
 def clash(df, *names):
@@ -19,7 +19,7 @@ def test_splits(spark):
 
 def test_history(spark):
     rows = [(1, 0, "aa", "t", "f", "m", "n", "low", None, None, "active"), (2, 1, "AA", *[None] * 8), (3, 1, *[None] * 9)]
-    links, clusters = history.link(clash(spark.createDataFrame(rows, SCHEMA), "fp", "key", "k_fp", "kept", "behind"))
+    links, clusters = both(clash(spark.createDataFrame(rows, SCHEMA), "fp", "key", "k_fp", "kept", "behind"))
     assert [tuple(r) for r in links.collect()] == [(1, 2)] and clusters.count() == 2
 
 
@@ -31,7 +31,7 @@ def test_packing(spark):
 
 def test_all_null(spark):
     text = spark.createDataFrame([(None, None)], "doc_id long, text string")
-    assert pii.find_pii(text, "doc_id", "text").count() == 0 and secrets.find_secrets(text, "doc_id", "text").count() == 0
+    assert pii.find_pii(text, "doc_id", "text").count() == 0 and secrets.find_secrets(secrets.records(text, "t", "doc_id", "text")).count() == 0
     assert pii.sanitise(text, "doc_id", "text").first().sanitised is None
     calls = spark.createDataFrame([(None, None, None, None)], "call_id long, prompt string, prompt_lang string, content string")
     assert [r.defect for r in pairs.find_defects(calls).collect()] == ["empty"]
