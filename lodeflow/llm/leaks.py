@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lodeflow.session import spread
 
@@ -34,8 +34,8 @@ SHINGLE, RUN, GAP = 5, 12, 2
 REWORDED, PASSAGE = 0.75, 1.34
 #: Documents are padded to blocks of so many shingles; the smallest partition of passages in words.
 BLOCK, LEAST_PASSAGE = 16, 64
-#: Keys of at most so many items are sent to the tasks; beyond, keys are joined by Spark.
-BROADCAST_ITEMS = 20_000
+#: Items are searched in blocks of about so many characters; a block is what is sent to the tasks.
+BLOCK_CHARS = 20_000_000
 #: Words that are hashed at once, and whose pairs are looked up at once; bits of the table that keys are looked up in first.
 PART_WORDS, PAIR_WORDS, WANTED_BITS = 500_000, 50_000, 22
 
@@ -292,81 +292,47 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     """One row per document and item it gives away: doc_id, item_id.
 
     Null, empty and very short items (below a shingle) and texts leak nothing. Items of the same id count once.
-    The corpus is read once and never shuffled while the items are few (their number is counted);
-    beyond BROADCAST_ITEMS the keys of both sides are joined and the texts follow the candidates.
+    Items are a stated query set against all documents. Their characters are summed, and they are searched in blocks of BLOCK_CHARS, each by
+    the same plan: the keys of a block are sent to the tasks, and the corpus is passed over once for each block, never shuffled. One item is never split.
     """
-    spark = docs.sparkSession
-    kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     corpus = docs.where(F.length(F.col(doc_text)) > 0).select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
     queries = items.where(F.length(F.col(item_text)) > 0).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).dropDuplicates(["item_id"])
-    out = f"doc_id {kinds[0]}, item_id {kinds[1]}"
-    if queries.count() <= BROADCAST_ITEMS:
-        texts = {r["item_id"]: words_of(r["text"]) for r in queries.collect()}
-        shared = spark.sparkContext.broadcast((list(texts), list(texts.values()), _Items(list(texts.values()))))
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, item_words, known = shared.value
-            by_key = defaultdict(list)
-            for k, i in known.runs:
-                by_key[k].append(i)
-            wanted = known.wanted()
-            local = _Hasher()
-            for batch in batches:
-                ids = batch["doc_id"].tolist()
-                words = [words_of(text) for text in batch["text"]]
-                found: set[tuple[int, int]] = set()
-                for first, part in _parts(words):
-                    owners, keys = run_keys(part, local, wanted)
-                    candidates = {(n, i) for n, k in zip(owners.tolist(), keys.tolist(), strict=True) for i in by_key.get(k, ())}
-                    found |= {(first + n, i) for n, i in candidates if _run_in(item_words[i], part[n])}
-                for first, part in _parts(words, PAIR_WORDS):
-                    for n, i, start, end in known.reworded(part, local, wanted):
-                        if (first + n, i) not in found and _reworded_in(item_words[i], part[n][start:end]):
-                            found.add((first + n, i))
-                yield pd.DataFrame([(ids[n], names[i]) for n, i in sorted(found)], columns=["doc_id", "item_id"])
-
-        return spread(corpus).mapInPandas(search, out)
-
-    def doc_keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks = -(-(queries.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) or 1
+    found = None
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        part = _search(corpus, own, dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id])
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _search(corpus: DataFrame, items: DataFrame, doc_kind: str, item_kind: str) -> DataFrame:
+    """The leaks of one block of items."""
+    texts = {r["item_id"]: words_of(r["text"]) for r in items.collect()}
+    shared = corpus.sparkSession.sparkContext.broadcast((list(texts), list(texts.values()), _Items(list(texts.values()))))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, item_words, known = shared.value
+        by_key = defaultdict(list)
+        for k, i in known.runs:
+            by_key[k].append(i)
+        wanted = known.wanted()
         local = _Hasher()
         for batch in batches:
-            ids, keys = [], []
-            for x, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = words_of(text)
-                own = np.unique(np.concatenate((run_keys([words], local)[1], _pairs(local.words(words), np.zeros(len(words), np.int8))[1])))
-                ids += [x] * len(own)
-                keys += own.tolist()
-            yield pd.DataFrame({"doc_id": ids, "key": keys})
-
-    def item_keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        local = _Hasher()
-        for batch in batches:
-            rows = []
-            for x, text in zip(batch["item_id"], batch["text"], strict=True):
-                words = words_of(text)
-                runs, pairs, counts = item_keys(words, local)
-                least = max(_least_pairs(len(words)), 1)
-                rows += [(x, k, least, least, True) for k in runs.tolist()] + [(x, k, c, least, False) for k, c in zip(pairs.tolist(), counts.tolist(), strict=True)]
-            yield pd.DataFrame(rows, columns=["item_id", "key", "weight", "least", "is_run"])
-
-    doc_keys = corpus.mapInPandas(doc_keys_of, f"doc_id {kinds[0]}, key bigint")
-    item_rows = queries.mapInPandas(item_keys_of, f"item_id {kinds[1]}, key bigint, weight bigint, least bigint, is_run boolean")
-    # As in _Items: the pairs that most items share are left out, up to half of those that must be there.
-    often = item_rows.withColumn("n_items", F.count("*").over(Window.partitionBy("key")))
-    of_item = Window.partitionBy("item_id")
-    before = F.sum("weight").over(Window.partitionBy("item_id", "is_run").orderBy(F.desc("n_items"), "key"))
-    marked = often.withColumn("left_out", ~F.col("is_run") & (before <= F.floor(F.col("least") / 2)))
-    kept = marked.withColumn("enough", F.col("least") - F.coalesce(F.sum(F.when(F.col("left_out"), F.col("weight"))).over(of_item), F.lit(0))).where("not left_out")
-    counted = doc_keys.join(kept, "key").groupBy("doc_id", "item_id").agg(F.sum("weight").alias("weight"), F.first("enough").alias("enough"))
-    pairs = counted.where("weight >= enough").select("doc_id", "item_id")
-    texts_of = pairs.join(corpus, "doc_id").join(queries.withColumnRenamed("text", "item_text"), "item_id")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ok = [leaks_in(words_of(i), words_of(d)) for i, d in zip(batch["item_text"], batch["text"], strict=True)]
-            yield batch.loc[ok, ["doc_id", "item_id"]]
-
-    return texts_of.select("doc_id", "item_id", "text", "item_text").mapInPandas(verify, out)
+            ids = batch["doc_id"].tolist()
+            words = [words_of(text) for text in batch["text"]]
+            found: set[tuple[int, int]] = set()
+            for first, part in _parts(words):
+                owners, keys = run_keys(part, local, wanted)
+                candidates = {(n, i) for n, k in zip(owners.tolist(), keys.tolist(), strict=True) for i in by_key.get(k, ())}
+                found |= {(first + n, i) for n, i in candidates if _run_in(item_words[i], part[n])}
+            for first, part in _parts(words, PAIR_WORDS):
+                for n, i, start, end in known.reworded(part, local, wanted):
+                    if (first + n, i) not in found and _reworded_in(item_words[i], part[n][start:end]):
+                        found.add((first + n, i))
+            yield pd.DataFrame([(ids[n], names[i]) for n, i in sorted(found)], columns=["doc_id", "item_id"])
+
+    return spread(corpus).mapInPandas(search, f"doc_id {doc_kind}, item_id {item_kind}")
 
 
 def leak_report(found: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,29 +16,33 @@ from lodeflow.session import spread
 #: Shortest tile in words, and the share of an answer that tiles of the prompt must cover.
 TILE, COPIED = 3, 0.85
 
-# Words by which languages and refusals are told.
+#: From so many words on a text of a language with function words below holds one of them.
+TELLING_WORDS = 8
+
+# The commonest words of languages, and the words of refusals.
 FUNCTION_WORDS = {
     "en": "the a an is are was were be been of in into to from and or not no that this it its so which with without for as any by only cannot can before after because part works used keeps",
-    "de": "der die das ein eine einen einer ist sind wird werden wurde und oder nicht nach von vor aus in im zu den dem des keine kein daher damit gilt weil sie es als mit vorher gelangt gelangen liest gibt ungeprüft auf für",
-    "es": "el la los las un una es son y o no de del que se en al lo así por eso sin ninguna antes dentro llega petición método usarse para con como",
-    "fr": "le la les un une est sont et ou ne pas de du des que qui se dans au aux donc ce sans aucune avant leur son sa dans requête méthode pour avec par sur renvoie lit d'une",
-    "pt": "o a os as um uma é são e ou não do da dos das que se em no na por isso sem nenhuma dentro chega pedido lê devolve valor verificação antes para com como ao",
-    "it": "il lo la gli le un una è sono e o non di del della dei che si in nel nella per questo senza alcun prima dentro arriva richiesta metodo quindi con come al",
-    "nl": "de het een is zijn wordt worden en of niet van voor uit in naar geen dus omdat die dat met zonder als op aan deze methode aanvraag waarde wordt",
-    "pl": "i w na nie jest są że się do z bez przed przez tego dlatego więc metoda wartość żądania to oraz jako",
+    "de": "der die das ein eine einen einer ist sind wird werden wurde und oder nicht nach von vor aus in im zu den dem des keine kein daher damit gilt weil sie es als mit auf für sich auch wie bei über durch",
+    "es": "el la los las un una es son y o no de del que se en al lo así por eso sin ninguna antes dentro para con como pero más su sus por este esta",
+    "fr": "le la les un une est sont et ou ne pas de du des que qui se dans au aux donc ce sans aucune avant leur son sa pour avec par sur d'une ce cette il elle pas plus mais",
+    "pt": "o a os as um uma é são e ou não do da dos das que se em no na por isso sem nenhuma dentro antes para com como ao mas mais seu sua por este esta",
+    "it": "il lo la gli le un una è sono e o non di del della dei che si in nel nella per questo senza alcun prima dentro quindi con come al ma più suo sua questa da dal",
+    "nl": "de het een is zijn wordt worden en of niet van voor uit in naar geen dus omdat die dat met zonder als op aan deze maar meer zijn haar ook bij door over",
+    "pl": "i w na nie jest są że się do z bez przed przez tego dlatego więc to oraz jako ale jak po od ten ta przy",
 }
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 SCRIPTS = {"zh": r"[一-鿿]", "ja": r"[぀-ヿ]", "ko": r"[가-힯]", "ru": r"[Ѐ-ӿ]", "ar": r"[؀-ۿ]", "el": r"[Ͱ-Ͽ]", "he": r"[֐-׿]", "hi": r"[ऀ-ॿ]", "th": r"[฀-๿]"}
 _ACT = r"(?:help|assist|answer|respond|classif\w*|judge|label|look into|provide|comment|discuss|analy[sz]\w*|review|assess|evaluate|engage|support|complete|comply|do (?:that|this)|continue|fulfil\w*|share|give|advise)"
 REFUSALS = re.compile(
     r"(?i)(?:"
-    rf"\b(?:can(?:no|['’]?)t|can not|could not|couldn['’]t|won['’]t|will not|am unable to|['’]m unable to|unable to|not able to|not allowed to|may not|must not|not permitted to)\s+(?:\w+\s+){{0,3}}?{_ACT}\b(?!\s+any caller)"
+    rf"\b(?:can(?:no|['’]?)t|can not|could not|couldn['’]t|won['’]t|will not|am unable to|['’]m unable to|unable to|not able to|not allowed to|may not|must not|not permitted to)\s+(?:\w+\s+){{0,3}}?{_ACT}\b"
     r"|\b(?:must|have to|need to|going to|will|would|shall|['’]ll|should)\s+(?:\w+\s+){0,2}?(?:decline|refuse|pass on|abstain|refrain)\b"
     rf"|\bi\s+(?:decline|refuse)\b|\brather not\s+{_ACT}\b|\bprefer not to\b|\bnot\s+(?:something\s+)?(?:i['’]m|i am)?\s*comfortable\b|\bisn['’]t something i\b"
     r"|\b(?:would be|is) wrong (?:of|for) me\b|\boutside (?:of )?what i (?:may|can|am allowed)\b|\bnot (?:permitted|allowed|possible) (?:for|to) me\b|\bnot for me to (?:judge|say|answer)\b|\bbeyond what i (?:may|can)\b"
     r"|\bagainst (?:my|the|our) (?:guidelines|policy|policies|rules|usage)|\bunder the usage rules\b|\bviolat\w+ (?:my|the|our) (?:guidelines|polic\w+)"
     r"|\b(?:muss|möchte|werde|darf|kann|will)\b[^.]{0,80}\b(?:ablehnen|nicht (?:helfen|beantworten|beurteilen|einordnen|bewerten|weiterhelfen|antworten|unterstützen)|keine (?:auskunft|antwort|einschätzung|hilfe))"
     r"|\b(?:nicht helfen|keine auskunft|leider nicht (?:helfen|beantworten|möglich)|lehne\b[^.]{0,40}\bab\b)"
+    r"|\b(?:sorry|apologi[sz]e|regret|afraid)\b[^.!?]{0,120}\b(?:not|n['’]t|never|nothing)\b[^.!?]{0,60}\b(?:i|me|we)\b(?:[^.!?]{0,20}\b(?:discuss|do|cover|touch|address|handle|judge|answer|deal|talk)\b)?[^.!?]{0,30}[.!?]"
     r"|\bno puedo (?:ayudar|responder|asistir)|\bje ne peux pas (?:vous )?(?:aider|répondre)|\bnão posso (?:ajudar|responder)"
     r")"
 )
@@ -138,32 +144,58 @@ def _tokens(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def tile_coverage(answer: list[str], prompt: list[str]) -> float:
+def _diagonal_runs(a: np.ndarray, p: np.ndarray, diagonals: np.ndarray) -> list[tuple[int, int, int]]:
+    """The longest common runs of TILE words or more on some diagonals: length, place in a, place in p, as a heap."""
+    runs = []
+    for d in diagonals.tolist():
+        lo, hi = max(0, -d), min(len(a), len(p) - d)
+        same = np.concatenate(([False], a[lo:hi] == p[lo + d : hi + d], [False])).astype(np.int8)
+        edges = np.flatnonzero(np.diff(same))
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if end - start >= TILE:
+                runs.append((start - end, -(lo + start), -(lo + start + d)))
+    heapq.heapify(runs)
+    return runs
+
+
+def tile_coverage(answer: list[str], prompt: list[str], enough: float = 0.0) -> float:
     """Share of the answer's words that greedy string tiling marks in the prompt.
 
-    The longest common run of unmarked words is marked, again and again, down to TILE words.
+    The longest common run of unmarked words is marked, again and again, down to TILE words. All runs are found once, on the
+    diagonals that share a run of TILE words at all, and kept in a heap; one that is marked in part goes back with what is left
+    of it. If less than ``enough`` of the answer stands in such runs, that share is given without tiling, as marks are never more.
     """
-    if not answer:
+    if len(answer) < TILE or len(prompt) < TILE:
         return 0.0
-    at: dict[tuple[str, ...], list[int]] = {}
-    for p in range(len(prompt) - TILE + 1):
-        at.setdefault(tuple(prompt[p : p + TILE]), []).append(p)
-    seen_a, seen_p = [False] * len(answer), [False] * len(prompt)
-    while True:
-        best = (TILE - 1, 0, 0)
-        a = 0
-        while a <= len(answer) - TILE:
-            for p in at.get(tuple(answer[a : a + TILE]), ()):
-                k = 0
-                while a + k < len(answer) and p + k < len(prompt) and answer[a + k] == prompt[p + k] and not seen_a[a + k] and not seen_p[p + k]:
-                    k += 1
-                best = max(best, (k, a, p))
-            a += 1
-        length, a, p = best
-        if length < TILE:
-            return sum(seen_a) / len(answer)
-        seen_a[a : a + length] = [True] * length
-        seen_p[p : p + length] = [True] * length
+    ids: dict[str, int] = {}
+    a, p = (np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)) for words in (answer, prompt))
+    size = len(ids) + 1
+    grams = [sum((x[i : len(x) - TILE + 1 + i] * size**i for i in range(TILE)), np.zeros(len(x) - TILE + 1, np.int64)) for x in (a, p)]
+    shared = np.isin(grams[0], grams[1])
+    inside = np.zeros(len(a), bool)
+    for i in range(TILE):
+        inside[i : i + len(shared)] |= shared
+    if not shared.any() or inside.mean() < enough:
+        return float(inside.mean())
+    order = np.argsort(grams[1], kind="stable")
+    lo, hi = (np.searchsorted(grams[1][order], grams[0][shared], side) for side in ("left", "right"))
+    touched = np.zeros(len(a) + len(p), bool)
+    for at, low, high in zip(np.flatnonzero(shared).tolist(), lo.tolist(), hi.tolist(), strict=True):
+        touched[order[low:high] - at + len(a)] = True
+    runs = _diagonal_runs(a, p, np.flatnonzero(touched) - len(a))
+    seen_a, seen_p = np.zeros(len(a), bool), np.zeros(len(p), bool)
+    while runs:
+        length, at, to = -runs[0][0], -runs[0][1], -runs[0][2]
+        heapq.heappop(runs)
+        free = ~(seen_a[at : at + length] | seen_p[to : to + length])
+        if free.all():
+            seen_a[at : at + length] = seen_p[to : to + length] = True
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if end - start >= TILE:
+                heapq.heappush(runs, (start - end, -(at + start), -(to + start)))
+    return float(seen_a.mean())
 
 
 def language_of(text: str) -> str | None:
@@ -180,6 +212,13 @@ def language_of(text: str) -> str | None:
     return best if counts[best] >= 2 and counts[best] > second else None
 
 
+def lacks_language(text: str, wanted: str) -> bool:
+    """Whether a text of some length holds no function word at all of the wanted language, whichever other it is in."""
+    plain = re.sub(r"```.*?```|`[^`]*`|\b\w*_\w*\b|\S*[a-z][A-Z]\S*|\b\w+\([^)]*\)", " ", text, flags=re.S)
+    words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", plain.lower())
+    return wanted in _WORDS and len(words) >= TELLING_WORDS and not any(w in _WORDS[wanted] for w in words)
+
+
 def defect_of(prompt: str | None, prompt_lang: str | None, content: str | None) -> str | None:
     """The defect of a pair, or null: empty, copies_prompt, refusal, truncated or other_language, in this order."""
     text = (content or "").strip().lstrip("﻿")
@@ -199,7 +238,7 @@ def defect_of(prompt: str | None, prompt_lang: str | None, content: str | None)
         if not re.search(r"\w", body):
             return "empty"
     words = _tokens(body)
-    if len(words) > TILE and tile_coverage(words, _tokens(prompt or "")) >= COPIED:
+    if len(words) > TILE and tile_coverage(words, _tokens(prompt or ""), COPIED) >= COPIED:
         return "copies_prompt"
     if REFUSALS.search(body):
         return "refusal"
@@ -210,7 +249,7 @@ def defect_of(prompt: str | None, prompt_lang: str | None, content: str | None)
         return "truncated"
     wanted = (prompt_lang or "").strip().lower()[:2] or language_of(prompt or "")
     spoken = language_of(body)
-    if wanted and spoken and spoken != wanted:
+    if wanted and (spoken != wanted if spoken else lacks_language(body, wanted)):
         return "other_language"
     return None
 

@@ -29,7 +29,7 @@ _SP = r"(?:[ \t]+|[ \t]*\n[ \t]*)"
 _AT = rf"(?:@|{_SP}?[(\[{{]{_SP}?(?:at|AT|ät){_SP}?[)\]}}]{_SP}?|{_SP}AT{_SP}|%40|&#64;)"
 _DOT = rf"(?:\.|{_SP}?[(\[{{]{_SP}?(?:dot|DOT|punkt){_SP}?[)\]}}]{_SP}?|{_SP}DOT{_SP})"
 EMAIL = re.compile(
-    rf"(?<![\w.+%/\-])(?P<local>\w[\w.+%\-]*?){_AT}(?P<host>[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,}})(?![\w\-])(?P<after>:[\w/]|/)?"
+    rf"(?<![\w.+%/\-])(?P<local>\w[\w.+%\-]*?){_AT}(?P<host>[^\W_][\w\-]*(?:{_DOT}[^\W_][\w\-]*)*{_DOT}[^\W\d_]{{2,}})(?![\w\-])(?P<after>:[\w/]|/)?"
 )
 SERVICE = r"(?i)^(?:git|svn|hg|noreply|no-reply|donotreply|mailer-daemon|postmaster|root|ci|bot|builds?|www|nobody)$"
 _EXT = r"(?:,?\s*(?:ext\.?|x|extension|Durchwahl|poste)\s*\d{1,5})?"
@@ -39,12 +39,12 @@ PHONE = re.compile(
     r"|\+1[ .\-\n]?\d{3}[ .\-\n]\d{3}[ .\-\n]\d{4}"
     r"|00\d{1,3}[ \-/]?\d{6,12}"
     r"|\d{3}([.\-])\d{3}\1\d{4}"
-    r"|\d{3}[ \n]555[ \n\-]\d{4}"
+    r"|[2-9]\d{2}[ \n][2-9]\d{2}[ \n\-]\d{4}"
     r"|\+\d{1,3}[ \n.\-]?\(?\d{1,4}\)?(?:[ \n.\-/]?\d{2,8}){1,4}"
     r"|0\d{2,5}/\d{3,9}(?:-\d{1,6})?"
     r"|0\d(?:[ .\n]\d{2}){4}"
     r"|0\d{2,4}[ \n]\d{3,4}[ \n]\d{3,4}"
-    r"|555-\d{4}"
+    r"|[2-9]\d{2}-\d{4}"
     rf"){_EXT}(?![\w\-])"
 )
 _LABEL = (
@@ -85,7 +85,8 @@ NAMED_BEFORE = re.compile(rf"(?<![\w,]){_TITLE}" + _NAME + r"\Z")
 #: Words without which a grammar needn't run: it holds one of them wherever it matches.
 _CUES = ("eported", "pproved", "eviewed", "ssigned", "ritten", "igned", "aised", "iled", "wner", "uthor", "ontact", "eporter", "ssignee", "ontakt", "ustomer", "ttn", "ame", "caller", "employee", "user", "patient", "Kund", "client", "ttention", "dump", "emeldet", "ignalé", "comunicó", "gehört", "--")
 _VERBS = ("greed", "objected", "signed", "complained", "called")
-_AT_SIGNS = ("@", "at)", "at]", "at}", "at )", "at ]", "at }", "at\n", "AT", "ät", "%40", "&#64;")
+# The grammar's own ways to write the sign, so that nothing it accepts is passed over.
+_AT_SIGNS = re.compile(r"@|%40|&#64;|AT|[(\[{]\s*(?:at|ät)")
 SHAPED = re.compile(rf"(?<![\w.@/\-])(?=(?P<name>(?:[A-ZÀ-Þ]\.{_SP}){_CAP}|{_CAP},{_SP}{_CAP}|{_CAP}{_SP}(?:[A-ZÀ-Þ]\.{_SP})?{_CAP})(?![\w@/]))")
 _TERM = re.compile(r"(?<![\w@./\-])[^\W\d_]{2,}(?:[-'’][^\W\d_]+)*(?![\w@/])")
 _NO_TERMS = {"dr", "prof", "mr", "mrs", "ms", "herr", "frau"}
@@ -104,7 +105,7 @@ def entity_spans(text: str) -> list[tuple[str, int, int]]:
         if all(end <= s or start >= e for _, s, e in spans):
             spans.append((kind, start, end))
 
-    for m in EMAIL.finditer(text) if any(a in text for a in _AT_SIGNS) else ():
+    for m in EMAIL.finditer(text) if _AT_SIGNS.search(text) else ():
         if not re.match(SERVICE, m["local"]) and not m["after"] and not re.search(r"\d$", m["host"]):
             add("email", m.start("local"), m.end("host"))
     for m in ADDRESS.finditer(text):
@@ -216,20 +217,33 @@ def find_pii(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return certain.select(*keys).unionByName(names.where("in_slot").select(*keys)).unionByName(free.select(*keys))
 
 
+def disclosing_terms(df: DataFrame, doc_id: str, text: str, items: DataFrame) -> DataFrame:
+    """doc_id, terms: the terms of the persons of a document that disclose one beyond DISCLOSURE_ELSEWHERE over the whole corpus.
+
+    Terms of an identity that stand alone (a surname further down) reveal the same person as the full name.
+    """
+    scored = term_statistics(df, text).where(F.col("disclosure") >= DISCLOSURE_ELSEWHERE).select("term")
+    spans = items.where("pii_type = 'name'").join(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
+    names = spans.select("doc_id", F.explode(F.split(F.lower(F.expr("substring(_text, start_char + 1, end_char - start_char)")), r"[^\p{L}\p{N}_]+")).alias("term")).where("length(term) > 1").distinct()
+    return names.join(scored, "term").groupBy("doc_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))  # terms of one text's names
+
+
 def sanitise(df: DataFrame, doc_id: str, text: str, out: str = "sanitised") -> DataFrame:
     """The documents with every found item replaced by a placeholder of its type, such as ``[EMAIL]``.
 
-    Null stays null, and texts without items stay as they are.
+    What is left of a document's persons is generalised: terms of their names that disclose a person by themselves become
+    ``[PERSON]`` wherever they stand alone. Null stays null, and texts without items stay as they are.
     """
-    items = find_pii(df, doc_id, text).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char", "pii_type"))).alias("_items"))
-    joined = df.join(items, df[doc_id] == items["doc_id"], "left").drop(items["doc_id"])
+    found = written(find_pii(df, doc_id, text), "items")
+    items = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_char", "end_char", "pii_type"))).alias("_items"))
+    items = items.join(disclosing_terms(df, doc_id, text, found), "doc_id", "left").select(F.col("doc_id").alias("_doc"), "_items", F.col("terms").alias("_terms"))
+    joined = df.join(items, df[doc_id] == F.col("_doc"), "left").drop("_doc")
     # The parts between the items and their placeholders, in order; positions count from 0.
     ends = F.concat(F.array(F.lit(0)), F.expr("transform(_items, i -> i.end_char)"))
-    parts = joined.withColumn("_ends", ends).withColumn(
-        out,
-        F.expr(
-            f"case when _items is null then {text} else array_join(transform(_items, (i, n) -> substring({text}, _ends[n] + 1, i.start_char - _ends[n]) || '[' || upper(i.pii_type) || ']'), '')"
-            f" || substring({text}, element_at(_ends, -1) + 1) end"
-        ),
-    )
-    return parts.drop("_items", "_ends")
+    general = F.when(F.size("_terms") > 0, F.concat(F.lit(r"(?iU)(?<![\w@./\[-])(?:"), F.array_join("_terms", "|"), F.lit(r")(?![\w@\]])")))
+    parts = joined.withColumn("_ends", ends).withColumn("_general", general)
+    between = lambda part: f"if(_general is null, {part}, regexp_replace({part}, _general, '[PERSON]'))"
+    inner = between(f"substring({text}, _ends[n] + 1, i.start_char - _ends[n])")
+    last = between(f"substring({text}, element_at(_ends, -1) + 1)")
+    done = parts.withColumn(out, F.expr(f"case when _items is null then {text} else array_join(transform(_items, (i, n) -> {inner} || '[' || upper(i.pii_type) || ']'), '') || {last} end"))
+    return done.drop("_items", "_ends", "_terms", "_general")

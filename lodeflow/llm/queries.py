@@ -90,7 +90,7 @@ def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.groups(table(spark, sf_dir, "training_examples"), table(spark, sf_dir, "repo_files"))
+    return splits.groups(table(spark, sf_dir, "training_examples"), table(spark, sf_dir, "repo_files"), ["label", "cwe_types", "vulnerability_type"])
 
 
 @_query
@@ -101,15 +101,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def p4_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training examples with their split."""
-    return splits.assign(_groups(spark, sf_dir)).select("example_id", "split")
+    """Training examples with their split, like in label, weaknesses and vulnerability type."""
+    return splits.assign(_groups(spark, sf_dir), labels="labels").select("example_id", "split")
 
 
 @_query
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and label shares of the splits."""
     grouped = _groups(spark, sf_dir)
-    return splits.split_report(grouped, splits.assign(grouped))
+    return splits.split_report(grouped, splits.assign(grouped, labels="labels"))
+
+
+@_query
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the examples of each label are shared out over the splits."""
+    grouped = _groups(spark, sf_dir)
+    return splits.label_report(grouped, splits.assign(grouped, labels="labels"))
 
 
 @_query
@@ -136,6 +143,29 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p7_pack(spark, sf_dir))
 
 
+#: Instruction data: a container holds so many tokens, turns, and tokens of answers, which alone bear loss.
+TURNS = packing.Limits(1280, 8, 512)
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "llm_responses").select("call_id", "prompt", "content").dropDuplicates(["call_id"])
+    counted = [F.coalesce(packing.count_tokens(F.col(c)), F.lit(0)) for c in ("prompt", "content")]
+    return calls.select(F.col("call_id").alias("doc_id"), (counted[0] + counted[1]).alias("n"), counted[1].alias("loss_tokens"))
+
+
+@_query
+def p7_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts and responses in containers under limits on tokens, turns and loss-bearing tokens."""
+    turns = _turns(spark, sf_dir).withColumn("text", F.lit(""))
+    return packing.pack(turns, "doc_id", "text", "n", TURNS, "loss_tokens")
+
+
+@_query
+def p7_turns_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the three limits bind."""
+    return packing.vector_report(p7_turns(spark, sf_dir), _turns(spark, sf_dir).select("doc_id", "loss_tokens"), TURNS)
+
+
 _CLEAN = "regexp_replace(trim(file_path), '\\\\', '/', 'g')"
 _CLEAN = f"regexp_replace({_CLEAN}, '^([A-Za-z][A-Za-z0-9+.-]+:/+|[A-Za-z]:/*)', '/')"
 _CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, '/+', '/', 'g'), '(^|/)(\\./)+', '\\1', 'g')"

@@ -49,7 +49,7 @@ def test_both_ways(spark, monkeypatch):
     d, q = frames(spark, docs, items)
     expected = plain(docs, items)
     assert {tuple(r) for r in leaks.find_leaks(d, "doc_id", "text", q, "item_id", "text").collect()} == expected and expected
-    monkeypatch.setattr(leaks, "BROADCAST_ITEMS", 3)
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 3000)
     assert {tuple(r) for r in leaks.find_leaks(d, "doc_id", "text", q, "item_id", "text").collect()} == expected
 
 
@@ -98,7 +98,7 @@ def plain_lcs(a, b):
 def both_ways(spark, monkeypatch, docs, items):
     d, q = frames(spark, docs, items)
     found = {tuple(r) for r in leaks.find_leaks(d, "doc_id", "text", q, "item_id", "text").collect()}
-    monkeypatch.setattr(leaks, "BROADCAST_ITEMS", 1)
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 5000)
     assert {tuple(r) for r in leaks.find_leaks(d, "doc_id", "text", q, "item_id", "text").collect()} == found
     return found
 

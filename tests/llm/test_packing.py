@@ -57,3 +57,25 @@ def test_empty(spark):
     assert packing.pack(docs(spark, [5]).limit(0), "doc_id", "text", "n_tokens").count() == 0
     nulls = spark.createDataFrame([(1, None, None), (None, "a b", None)], "doc_id long, text string, n_tokens int")
     assert [tuple(r)[1:] for r in packing.pack(nulls, "doc_id", "text", "n_tokens").collect()] == [(None, 0, 2)]
+
+
+def test_whole_pieces_have_containers_of_their_own(spark):
+    df = spark.createDataFrame([(None, 2048), (None, 2048), (7, 4096), (7, 2048), (None, 5)], "doc_id long, n_tokens int").selectExpr("*", "'' as text")
+    used = packing.pack(df, "doc_id", "text", "n_tokens").groupBy("container").agg(F.sum(F.expr("token_end - token_start")).alias("t")).collect()
+    assert sorted(r.t for r in used) == [5, 2048, 2048, 2048, 2048, 2048]
+
+
+def test_three_limits_bind(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "'' as text", "cast(20 + id % 91 * 5 as int) as n", "cast(least(20 + id % 91 * 5, 5 + id % 53 * 3) as int) as loss")
+    limits = packing.Limits(2048, 7, 500)
+    packed = packing.pack(df, "doc_id", "text", "n", limits, "loss")
+    r = packing.vector_report(packed, df.selectExpr("doc_id", "loss as loss_tokens"), limits).first()
+    assert packed.count() == 4000 and r.most_tokens <= 2048 and r.most_segments == 7 and r.most_loss_tokens <= 500
+    assert r.n_containers <= 1.1 * max(r.least_by_tokens, r.least_by_segments, r.least_by_loss_tokens)
+
+
+def test_an_item_that_exceeds_the_loss_limit_is_cut(spark):
+    df = spark.createDataFrame([(1, 1000, 900), (2, 3000, 0), (3, 10, 99), (4, 10, -1)], "doc_id long, n int, loss int").selectExpr("*", "'' as text")
+    rows = packing.pack(df, "doc_id", "text", "n", packing.Limits(2048, 8, 400), "loss").collect()
+    sizes = {d: sorted(r.token_end - r.token_start for r in rows if r.doc_id == d) for d in (1, 2, 3, 4)}
+    assert sizes == {1: [112, 444, 444], 2: [952, 2048], 3: [10], 4: [10]}

@@ -1,5 +1,8 @@
 """Defects of pairs."""
 
+import random
+import time
+
 import pytest
 
 from lodeflow.llm import pairs
@@ -45,3 +48,43 @@ def test_cut_within_markup(cut):
 @pytest.mark.parametrize("whole", ["Steps: 1. read the input. 2. run it.", "- It reads q.\n- It runs q.", "It passes through sanitize(x).", "It is safe (see above.)", "It writes a <script> tag into the page.", "<p>It is <b>not</b> escaped.</p>", "It is **unsafe**.", "It passes **kwargs on.", 'It says "q is joined."', 'A 5" field is joined.', "Er sagt „q ist offen“.", "The sink is in line 12.", "1) it reads q. 2) it runs q."])
 def test_whole_with_markup(whole):
     assert pairs.defect_of(PROMPT, None, whole) is None
+
+
+def slow_coverage(answer, prompt):
+    """Greedy string tiling as it is defined: the longest unmarked run first."""
+    seen_a, seen_p = set(), set()
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(answer)):
+            for p in range(len(prompt)):
+                k = 0
+                while a + k < len(answer) and p + k < len(prompt) and answer[a + k] == prompt[p + k] and a + k not in seen_a and p + k not in seen_p:
+                    k += 1
+                best = max(best, (k, a, p))
+        if best[0] < pairs.TILE:
+            return len(seen_a) / len(answer)
+        seen_a |= set(range(best[1], best[1] + best[0]))
+        seen_p |= set(range(best[2], best[2] + best[0]))
+
+
+def test_tiling_against_its_definition():
+    rng = random.Random(4)
+    for _ in range(150):
+        a, p = (rng.choices("abc" if rng.random() < 0.5 else "abcdefgh", k=rng.randrange(1, 30)) for _ in range(2))
+        assert pairs.tile_coverage(a, p) == pytest.approx(slow_coverage(a, p))
+
+
+def test_repeating_words_are_tiled_at_once():
+    start = time.time()
+    assert pairs.tile_coverage(["a"] * 800, ["a"] * 800) == 1.0
+    assert pairs.tile_coverage(["a", "b"] * 3000, ["a", "b"] * 3000) == 1.0
+    assert time.time() - start < 5
+
+
+@pytest.mark.parametrize(("content", "defect"), [
+    ("Metoden leser verdien fra forespørselen og sender den videre uten noen kontroll underveis.", "other_language"),
+    ("Metoda vraci hodnotu primo do dotazu bez jakekoli predchozi kontroly vstupu.", "other_language"),
+    ("I am sorry, this topic is not one I discuss.", "refusal"),
+])
+def test_beyond_the_listed_languages_and_refusals(content, defect):
+    assert pairs.defect_of(PROMPT, "en", content) == defect

@@ -82,3 +82,23 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(150)] + [("z1", "z1"), (None, "q")], "a string, b string")
     found = {r.node: r.component for r in splits.components(edges, "a", "b").collect()}
     assert len(found) == 151 and set(found.values()) == {"n000"}
+
+
+def test_several_labels(spark):
+    df = spark.range(60000).selectExpr("id as example_id", "concat('g', id div 3) as group_key", "0 as label", "array('all', if(id % 50 < 3, 'rare', null), if(id div 3 % 4 = 0, 'quarter', 'other')) as labels")
+    shares = {(r.label, r.split): r.share for r in splits.label_report(df, splits.assign(df, labels="labels")).where("label is not null").collect()}
+    assert len(shares) == 12
+    for (label, name), share in shares.items():
+        assert abs(share - splits.SHARES[name]) < 0.01, (label, name)
+
+
+def test_a_heavy_group_doesn_t_spoil_the_shares(spark):
+    df = spark.range(30000).selectExpr("id as example_id", "if(id < 10000, 'big', concat('g', id div 2)) as group_key", "cast(id % 10 = 0 as int) as label")
+    report = {r.split: r for r in splits.split_report(df, splits.assign(df)).collect()}
+    for name, share in splits.SHARES.items():
+        assert abs(report[name].share - share) < 0.005 and abs(report[name].share_of_ones - 0.1) < 0.005
+
+
+def test_deep_parents(spark):
+    df = spark.createDataFrame([("r/" + "x/" * 20 + "../" * 20 + "a/f.py",)], "p string")
+    assert splits.resolve_paths(df, "p", spark.createDataFrame([("r/a/f.py",)], "path string"), "path").first().known == "r/a/f.py"
