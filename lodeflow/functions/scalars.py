@@ -10,13 +10,42 @@ from pyspark.sql import Column, functions as F
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 VERDICTS = ("true_positive", "false_positive", "uncertain", "unverified")
 LANGUAGES = {
-    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go",
-    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "kt": "kotlin", "rs": "rust", "cs": "csharp", "swift": "swift", "scala": "scala",
+    "c": "c", "h": "c",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "c++": "cpp", "h++": "cpp",
+    "java": "java",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript",
+    "py": "python", "pyi": "python",
+    "kt": "kotlin", "kts": "kotlin",
+    "php": "php", "phtml": "php", "php3": "php", "php4": "php", "php5": "php", "php7": "php", "phps": "php",
+    "go": "go",
+    "swift": "swift",
+    "rb": "ruby", "rake": "ruby", "gemspec": "ruby",
+    "cs": "csharp",
+    "scala": "scala", "sc": "scala",
 }
 WEAKNESSES = {
-    "CWE-78": "OS command injection", "CWE-89": "SQL injection", "CWE-94": "Code injection", "CWE-22": "Path traversal", "CWE-79": "Cross-site scripting", "CWE-918": "Server-side request forgery",
-    "CWE-502": "Unsafe deserialization", "CWE-611": "XML external entity", "CWE-601": "Open redirect", "CWE-943": "NoSQL injection",
-}
+    "CWE-89": "SQL Injection",
+    "CWE-79": "Cross-site Scripting (XSS)",
+    "CWE-78": "OS Command Injection",
+    "CWE-22": "Path Traversal",
+    "CWE-918": "Server-Side Request Forgery (SSRF)",
+    "CWE-611": "XML External Entity (XXE)",
+    "CWE-502": "Deserialization of Untrusted Data",
+    "CWE-90": "LDAP Injection",
+    "CWE-643": "XPath Injection",
+    "CWE-94": "Code Injection",
+    "CWE-117": "Log Injection",
+    "CWE-601": "Open Redirect",
+    "CWE-200": "Sensitive Data Exposure",
+    "CWE-798": "Hardcoded Credentials",
+    "CWE-327": "Use of Broken Crypto Algorithm",
+    "CWE-330": "Use of Insufficiently Random Values",
+    "CWE-120": "Buffer Overflow",
+    "CWE-416": "Use After Free",
+    "CWE-476": "NULL Pointer Dereference",
+    "CWE-362": "Race Condition",
+}
 
 
 def severity_rank(severity: Column) -> Column:

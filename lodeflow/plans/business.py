@@ -22,81 +22,90 @@ def _query(sql: str | None = None):
     return register
 
 
-_TRADE = (
-    "select distinct c.c_nationkey as src, s.s_nationkey as dst from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on o.o_custkey = c.c_custkey join supplier s on l.l_suppkey = s.s_suppkey where "
-)
-_DENSE, _SPARSE = "l_quantity >= 49 and l_returnflag = 'R'", "l_quantity >= 49 and l_discount >= 0.1::DOUBLE and l_tax >= 0.07::DOUBLE"
+# Goods go from suppliers (odd nodes) to customers (even nodes), returned ones back. All line items are edges.
+_SOLD = "select l_suppkey * 2 + 1 as s, o_custkey * 2 as c, l_returnflag = 'R' as back from lineitem join orders on l_orderkey = o_orderkey"
+_EDGES = f"(select distinct s as src, c as dst from ({_SOLD}) union select distinct c, s from ({_SOLD}) where back)"
+_NODES = "(select s_suppkey * 2 + 1 as node from supplier union all select c_custkey * 2 from customer)"
+_NATION = "(select s_suppkey * 2 + 1 as node from supplier where s_nationkey = 7)"
+
+
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of goods between suppliers and customers; all line items."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") * 2 + 1).alias("s"), (F.col("l_returnflag") == "R").alias("back"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") * 2).alias("c"))
+    sold = items.join(orders, "l_orderkey").groupBy("s", "c").agg(F.max("back").alias("back"))
+    there, again = F.struct(F.col("s").alias("src"), F.col("c").alias("dst")), F.struct(F.col("c").alias("src"), F.col("s").alias("dst"))
+    return sold.select(F.explode(F.when(F.col("back"), F.array(there, again)).otherwise(F.array(there))).alias("e")).select("e.src", "e.dst")
 
 
-def trade(spark: SparkSession, sf_dir: str, sparse: bool) -> DataFrame:
-    """Edges from the nations of customers to those of suppliers; parts of the line items only, so that the graph has structure."""
-    kept = "l_quantity >= 49 and l_discount >= 0.1D and l_tax >= 0.07D" if sparse else "l_quantity >= 49 and l_returnflag = 'R'"
-    items = table(spark, sf_dir, "lineitem").where(kept).select("l_orderkey", "l_suppkey")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
-    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
-    return items.join(orders, "l_orderkey").join(customers, "c_custkey").join(suppliers, "l_suppkey").select("src", "dst").distinct()
+def traders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("node"))
+    return suppliers.unionByName(table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("node")))
 
 
-def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
+def of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated starts of searches: the suppliers of a nation."""
+    return table(spark, sf_dir, "supplier").where("s_nationkey = 7").select((F.col("s_suppkey") * 2 + 1).alias("node"))
 
 
 @_query(
-    f"with e as ({_TRADE}{_DENSE}) select n_nationkey as node, (select count(*) from e where src = n_nationkey)::BIGINT as out_degree, (select count(*) from e where dst = n_nationkey)::BIGINT as in_degree from nation"
+    f"with e as materialized {_EDGES}, o as (select src, count(*) as n from e group by 1), i as (select dst, count(*) as n from e group by 1) "
+    f"select node, coalesce(o.n, 0)::BIGINT as out_degree, coalesce(i.n, 0)::BIGINT as in_degree from {_NODES} left join o on src = node left join i on dst = node"
 )
 def trade_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out- and in-degrees of nations in the trade graph."""
-    return graphs.degrees(nations(spark, sf_dir), trade(spark, sf_dir, False))
+    """Out- and in-degrees of all suppliers and customers."""
+    return graphs.degrees(traders(spark, sf_dir), trade(spark, sf_dir))
 
 
-@_query(f"with e as ({_TRADE}{_SPARSE}) select n_nationkey as node from nation where n_nationkey not in (select src from e) and n_nationkey not in (select dst from e)")
+@_query(f"with e as materialized {_EDGES} select node from {_NODES} where node not in (select src from e) and node not in (select dst from e)")
 def trade_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations that the sparse trade graph leaves alone."""
-    return graphs.orphans(nations(spark, sf_dir), trade(spark, sf_dir, True))
+    """Suppliers and customers without any trade."""
+    return graphs.orphans(traders(spark, sf_dir), trade(spark, sf_dir))
 
 
 def _rank_sql(rounds: int) -> str:
-    steps = [f"e as materialized (select src, dst from ({_TRADE}{_SPARSE}) where src <> dst)", "o as materialized (select src, count(*) as n from e group by 1)", "r0 as materialized (select n_nationkey as node, 1.0::DOUBLE / (select count(*) from nation) as score from nation)"]
+    steps = [f"e as materialized {_EDGES}", f"v as materialized {_NODES}", "o as materialized (select src, count(*) as n from e group by 1)", "r0 as materialized (select node, 1.0::DOUBLE / (select count(*) from v) as score from v)"]
     for i in range(rounds):
+        steps.append(f"g{i} as materialized (select e.dst as node, sum(q.score / o.n) as got from e join r{i} q on q.node = e.src join o on o.src = e.src group by 1)")
         steps.append(
-            f"r{i + 1} as materialized (select r.node, 0.15::DOUBLE / (select count(*) from nation) + 0.85::DOUBLE * (select coalesce(sum(score), 0) from r{i} where node not in (select src from o)) / (select count(*) from nation)"
-            f" + 0.85::DOUBLE * coalesce((select sum(q.score / o.n) from e join r{i} q on q.node = e.src join o on o.src = e.src where e.dst = r.node), 0) as score from r{i} r)"
+            f"r{i + 1} as materialized (select r.node, (0.15::DOUBLE + 0.85::DOUBLE * (select coalesce(sum(score), 0) from r{i} where node not in (select src from o))) / (select count(*) from v)"
+            f" + 0.85::DOUBLE * coalesce(g.got, 0) as score from r{i} r left join g{i} g on g.node = r.node)"
         )
     return "with " + ", ".join(steps)
 
 
-@_query(_rank_sql(10) + " select node, round(score, 6) as score from r10")
+@_query(_rank_sql(10) + " select node, round(score, 9) as score from r10")
 def pagerank_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten rounds of page rank on the sparse trade graph."""
-    ranks = graphs.pagerank(nations(spark, sf_dir), trade(spark, sf_dir, True), 10)
-    return ranks.select("node", F.round("score", 6).alias("score"))
+    """Ten rounds of page rank on the goods graph."""
+    ranks = graphs.pagerank(traders(spark, sf_dir), trade(spark, sf_dir), 10)
+    return ranks.select("node", F.round("score", 9).alias("score"))
 
 
 @_query(_rank_sql(10) + " select node, round((score - (select min(score) from r10)) / ((select max(score) from r10) - (select min(score) from r10)), 5) as score from r10")
 def pagerank_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranks scaled to [0, 1]."""
-    ranks = graphs.pagerank(nations(spark, sf_dir), trade(spark, sf_dir, True), 10)
+    ranks = graphs.pagerank(traders(spark, sf_dir), trade(spark, sf_dir), 10)
     return graphs.min_max(ranks, "score").select("node", F.round("score", 5).alias("score"))
 
 
-@_query(f"with recursive e as ({_TRADE}{_SPARSE}), t as (select src, dst from e union select t.src, e.dst from t join e on t.dst = e.src) select src, dst from t")
+@_query(f"with e as materialized {_EDGES}, a as (select src, dst from e where src in {_NATION}), b as (select a.src, e.dst from a join e on e.src = a.dst) select src, dst from a union select src, dst from b")
 def trade_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which nations a nation reaches in the sparse trade graph."""
-    return graphs.closure(trade(spark, sf_dir, True))
+    """What goods of the suppliers of a nation reach in two steps: customers, and suppliers that these return goods to."""
+    return graphs.closure(trade(spark, sf_dir), 2, of_nation(spark, sf_dir))
 
 
-@_query(f"with recursive e as ({_TRADE}{_SPARSE}), t as (select src, dst from e union select t.src, e.dst from t join e on t.dst = e.src) select src as node from t where src = dst")
+@_query(f"select distinct unnest([s, c]) as node from ({_SOLD}) where back")
 def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations on a cycle of the sparse trade graph."""
-    return graphs.cycle_nodes(trade(spark, sf_dir, True))
+    """Suppliers and customers between whom goods go round: who has a returned item, as each was sold before."""
+    return graphs.cycle_nodes(trade(spark, sf_dir))
 
 
-@_query(f"with e as ({_TRADE}{_SPARSE}), l as (select n_nationkey as node from nation where n_regionkey = 1) select distinct src as node from e where dst in (select node from l) and src not in (select node from l)")
+@_query(f"with l as (select s_suppkey * 2 + 1 as node from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 1) select distinct src as node from {_EDGES} e where dst in (select node from l) and src not in (select node from l)")
 def propagate_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations that trade with a labelled one."""
-    labelled = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("node"))
-    return graphs.propagate(labelled, trade(spark, sf_dir, True))
+    """Customers that returned goods to a supplier of a region."""
+    region = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
+    labelled = table(spark, sf_dir, "supplier").join(region, "s_nationkey").select((F.col("s_suppkey") * 2 + 1).alias("node"))
+    return graphs.propagate(labelled, trade(spark, sf_dir))
 
 
 @_query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
@@ -194,24 +203,23 @@ def keep_first_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.keep_first(table(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey", "p_retailprice"), ["p_brand", "p_type"], [F.desc("p_retailprice"), "p_partkey"])
 
 
-_REACH = "with recursive e as materialized ({edges}), t as (select n_nationkey as start, dst as node, 1 as hops from nation join e on n_nationkey = src where n_regionkey = 2 and {free} union select t.start, e.dst, hops + 1 from t join e on t.node = e.src where hops < 3 and {free}) "
+_HOPS = "{0}1 as (select distinct src as start, dst as node from e where src in " + _NATION + " and {1}), {0}2 as (select distinct start, dst as node from {0}1 join e on src = node where {1})"
+_FREE = "dst % 5 <> 0"
 
 
-@_query(_REACH.format(edges=_TRADE + _SPARSE, free="dst % 5 <> 0") + "select start, node, min(hops)::INT as hops from t group by 1, 2")
+@_query(
+    f"with e as materialized {_EDGES}, {_HOPS.format('a', _FREE)}, x as (select start, node, 1 as hops from a1 union all select start, node, 2 from a2) select start, node, min(hops)::INT as hops from x group by 1, 2"
+)
 def bounded_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the nations of a region reach in three hops that avoid blocked nations."""
-    n = nations(spark, sf_dir)
-    starts = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("node"))
-    return graphs.reachable(starts, trade(spark, sf_dir, True), 3, n.where("node % 5 = 0"))
+    """What the suppliers of a nation reach in two hops that avoid blocked nodes."""
+    return graphs.reachable(of_nation(spark, sf_dir), trade(spark, sf_dir), 2, traders(spark, sf_dir).where("node % 5 = 0"))
 
 
 @_query(
-    _REACH.format(edges=_TRADE + _SPARSE, free="true").replace("t as (", "a as (", 1).replace("from t join e on t.node", "from a t join e on t.node")
-    + ", b as (select n_nationkey as start, dst as node, 1 as hops from nation join e on n_nationkey = src where n_regionkey = 2 and dst % 5 <> 0 union select t.start, e.dst, hops + 1 from b t join e on t.node = e.src where hops < 3 and dst % 5 <> 0) "
-    "select distinct a.start, a.node, not exists (select 1 from b where b.start = a.start and b.node = a.node) as is_sanitized from a where a.node % 2 = 1"
+    f"with e as materialized {_EDGES}, {_HOPS.format('a', 'true')}, {_HOPS.format('b', _FREE)}, a as (select * from a1 union select * from a2), b as (select * from b1 union select * from b2) "
+    "select start, node, not exists (select 1 from b where b.start = a.start and b.node = a.node) as is_sanitized from a where node % 3 = 1"
 )
 def sanitized_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether all ways of three hops to the odd nations pass a blocked one."""
-    n = nations(spark, sf_dir)
-    starts = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("node"))
-    return graphs.sanitized_paths(starts, n.where("node % 2 = 1"), trade(spark, sf_dir, True), n.where("node % 5 = 0"), 3)
+    """Whether all ways of two hops from the suppliers of a nation pass a blocked node."""
+    n = traders(spark, sf_dir)
+    return graphs.sanitized_paths(of_nation(spark, sf_dir), n.where("node % 3 = 1"), trade(spark, sf_dir), n.where("node % 5 = 0"), 2)

@@ -84,7 +84,7 @@ def release(spark: SparkSession) -> None:
 
 
 #: The option that names into how many partitions inputs are spread before compute-heavy row-local work.
-SPREAD = "lodeflow.spread.partitions"
+SPREAD = "spark.lodeflow.spread.partitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
