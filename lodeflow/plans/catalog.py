@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("documents", "findings", "corpus", "business")
+_MODULES = ("documents", "findings", "corpus", "business", "taint")
 
 
 def _merged(name: str) -> dict:
