@@ -163,20 +163,20 @@ def tile_coverage(answer: list[str], prompt: list[str], enough: float = 0.0) ->
 
     The longest common run of unmarked words is marked, again and again, down to TILE words. All runs are found once, on the
     diagonals that share a run of TILE words at all, and kept in a heap; one that is marked in part goes back with what is left
-    of it. If less than ``enough`` of the answer stands in such runs, that share is given without tiling, as marks are never more.
+    of it. If less than ``enough`` of the answer can stand in such runs, that bound is given without tiling.
     """
     if len(answer) < TILE or len(prompt) < TILE:
         return 0.0
+    known = set(zip(*(prompt[i:] for i in range(TILE)), strict=False))
+    hits = [g in known for g in zip(*(answer[i:] for i in range(TILE)), strict=False)]
+    most = min(len(answer), TILE * sum(hits))
+    if not most or most < enough * len(answer):
+        return most / len(answer)
     ids: dict[str, int] = {}
     a, p = (np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)) for words in (answer, prompt))
     size = len(ids) + 1
     grams = [sum((x[i : len(x) - TILE + 1 + i] * size**i for i in range(TILE)), np.zeros(len(x) - TILE + 1, np.int64)) for x in (a, p)]
-    shared = np.isin(grams[0], grams[1])
-    inside = np.zeros(len(a), bool)
-    for i in range(TILE):
-        inside[i : i + len(shared)] |= shared
-    if not shared.any() or inside.mean() < enough:
-        return float(inside.mean())
+    shared = np.array(hits)
     order = np.argsort(grams[1], kind="stable")
     lo, hi = (np.searchsorted(grams[1][order], grams[0][shared], side) for side in ("left", "right"))
     touched = np.zeros(len(a) + len(p), bool)
@@ -202,7 +202,7 @@ def language_of(text: str) -> str | None:
     """The language of a text by script, else by its function words; null if nothing tells."""
     plain = re.sub(r"```.*?```|`[^`]*`|\b\w*_\w*\b", " ", text, flags=re.S)
     letters = len(re.findall(r"[^\W\d_]", plain))
-    for name, script in SCRIPTS.items():
+    for name, script in () if plain.isascii() else SCRIPTS.items():
         if letters and len(re.findall(script, plain)) > 0.2 * letters:
             return name
     words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", plain.lower())
