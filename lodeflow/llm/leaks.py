@@ -32,17 +32,16 @@ from lodeflow.session import spread
 SHINGLE, RUN, GAP = 5, 12, 2
 #: Share of an item's words that must stand in order, and how much longer than the item the passage may be.
 REWORDED, PASSAGE = 0.75, 1.34
-#: Documents are padded to blocks of so many shingles; the smallest partition of passages in words.
-BLOCK, LEAST_PASSAGE = 16, 64
+#: The smallest partition of passages in words.
+LEAST_PASSAGE = 64
 #: Items are searched in blocks of about so many characters; a block is what is sent to the tasks.
 BLOCK_CHARS = 20_000_000
-#: Words that are hashed at once, and whose pairs are looked up at once; bits of the table that keys are looked up in first.
-PART_WORDS, PAIR_WORDS, WANTED_BITS = 500_000, 50_000, 22
+#: Words whose keys are looked up at once; bits of the table that keys are looked up in first.
+PART_WORDS, WANTED_BITS = 50_000, 22
 
 _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20240607)
 _P = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MAX = np.uint64(2**64 - 1)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -133,25 +132,28 @@ def item_keys(words: list[str], hasher: _Hasher) -> tuple[np.ndarray, np.ndarray
     return _key(0, np.unique(_run_minima(hasher.shingles(words)))), pairs, counts
 
 
-def run_keys(docs: list[list[str]], hasher: _Hasher, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all runs of some documents: arrays of document numbers and keys.
+def run_keys(hashes: np.ndarray, owners: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all runs of some documents that may be wanted: arrays of document numbers and keys.
 
-    With a table of ``wanted`` key prefixes only keys that may be wanted. The documents are hashed
-    in one array; a window that runs into the next document only adds a candidate.
+    ``hashes`` are those of all their words in one array, ``owners`` the document of each. A run lies in one document; where
+    the smallest shingle stays the same from run to run its key is given once.
     """
-    each = [hasher.shingles(w) for w in docs]
-    lengths = np.array([-(-len(s) // BLOCK) * BLOCK for s in each], np.int64)
-    s = np.full(int(lengths.sum()), _MAX)
-    for start, own in zip(np.cumsum(lengths) - lengths, each, strict=True):
-        s[start : start + len(own)] = own
-    minima = _run_minima(s)
-    owners = np.repeat(np.arange(len(docs)), lengths)[: len(minima)]
-    fresh = np.concatenate(([True], (minima[1:] != minima[:-1]) | (owners[1:] != owners[:-1]))) if len(minima) else np.zeros(0, bool)
-    owners, keys = owners[fresh], _key(0, minima[fresh])
-    if wanted is not None:
-        keep = wanted[keys.view(np.uint64) >> np.uint64(64 - WANTED_BITS)]
-        owners, keys = owners[keep], keys[keep]
-    return owners, keys
+    n = len(hashes) - RUN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    most = len(hashes) - SHINGLE + 1
+    with np.errstate(over="ignore"):
+        shingles = _mix(sum((hashes[i : i + most] * _P[i] for i in range(SHINGLE)), np.zeros(most, np.uint64)))
+    minima = shingles[:n].copy()
+    for i in range(1, RUN - SHINGLE + 1):
+        np.minimum(minima, shingles[i : i + n], out=minima)
+    within = owners[:n] == owners[RUN - 1 :]
+    own, minima = owners[:n][within], minima[within]
+    fresh = np.ones(len(minima), bool)
+    fresh[1:] = (minima[1:] != minima[:-1]) | (own[1:] != own[:-1])
+    own, keys = own[fresh], _key(0, minima[fresh])
+    keep = wanted[keys.view(np.uint64) >> np.uint64(64 - WANTED_BITS)]
+    return own[keep], keys[keep]
 
 
 class _Items:
@@ -186,14 +188,12 @@ class _Items:
         table[keys.view(np.uint64) >> np.uint64(64 - WANTED_BITS)] = True
         return table
 
-    def reworded(self, docs: list[list[str]], hasher: _Hasher, wanted: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def reworded(self, hashes: np.ndarray, lengths: np.ndarray, doc_of: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Document, item, and start and end of each segment that holds pairs enough of the item."""
-        lengths = np.array([len(w) for w in docs], np.int64)
-        if not lengths.sum() or not len(self.keys):
+        if not len(hashes) or not len(self.keys):
             return
         first = np.cumsum(lengths) - lengths
-        doc_of = np.repeat(np.arange(len(docs)), lengths)
-        at, keys = _pairs(np.concatenate([hasher.words(w) for w in docs]), doc_of)
+        at, keys = _pairs(hashes, doc_of)
         keep = wanted[keys.view(np.uint64) >> np.uint64(64 - WANTED_BITS)]
         at, keys = at[keep], keys[keep]
         low = np.searchsorted(self.keys, keys)
@@ -259,6 +259,9 @@ def _reworded_in(item: list[str], doc: list[str]) -> bool:
     if n < SHINGLE:
         return False
     need, size = _need(n), _passage(n)
+    held = set(doc)
+    if sum(w in held for w in item) < need:
+        return False
     own, opening = Counter(item), set(item[: n - need + 1])
     positions: dict[str, int] = defaultdict(int)
     for p, w in enumerate(item):
@@ -323,11 +326,13 @@ def _search(corpus: DataFrame, items: DataFrame, doc_kind: str, item_kind: str)
             words = [words_of(text) for text in batch["text"]]
             found: set[tuple[int, int]] = set()
             for first, part in _parts(words):
-                owners, keys = run_keys(part, local, wanted)
+                lengths = np.array([len(w) for w in part], np.int64)
+                doc_of = np.repeat(np.arange(len(part)), lengths)
+                hashes = local.words([w for own in part for w in own])
+                owners, keys = run_keys(hashes, doc_of, wanted)
                 candidates = {(n, i) for n, k in zip(owners.tolist(), keys.tolist(), strict=True) for i in by_key.get(k, ())}
                 found |= {(first + n, i) for n, i in candidates if _run_in(item_words[i], part[n])}
-            for first, part in _parts(words, PAIR_WORDS):
-                for n, i, start, end in known.reworded(part, local, wanted):
+                for n, i, start, end in known.reworded(hashes, lengths, doc_of, wanted):
                     if (first + n, i) not in found and _reworded_in(item_words[i], part[n][start:end]):
                         found.add((first + n, i))
             yield pd.DataFrame([(ids[n], names[i]) for n, i in sorted(found)], columns=["doc_id", "item_id"])
