@@ -35,7 +35,7 @@ REWORDED, PASSAGE = 0.75, 1.34
 #: The smallest partition of passages in words.
 LEAST_PASSAGE = 64
 #: Items are searched in blocks of about so many characters; a block is what is sent to the tasks.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 4_000_000
 #: Words whose keys are looked up at once; bits of the table that keys are looked up in first.
 PART_WORDS, WANTED_BITS = 50_000, 22
 
@@ -133,7 +133,7 @@ def item_keys(words: list[str], hasher: _Hasher) -> tuple[np.ndarray, np.ndarray
 
 
 def run_keys(hashes: np.ndarray, owners: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all runs of some documents that may be wanted: arrays of document numbers and keys.
+    """The keys of all runs of some documents that may be wanted: arrays of the places where they begin and keys.
 
     ``hashes`` are those of all their words in one array, ``owners`` the document of each. A run lies in one document; where
     the smallest shingle stays the same from run to run its key is given once.
@@ -147,13 +147,13 @@ def run_keys(hashes: np.ndarray, owners: np.ndarray, wanted: np.ndarray) -> tupl
     minima = shingles[:n].copy()
     for i in range(1, RUN - SHINGLE + 1):
         np.minimum(minima, shingles[i : i + n], out=minima)
-    within = owners[:n] == owners[RUN - 1 :]
-    own, minima = owners[:n][within], minima[within]
+    at = np.flatnonzero(owners[:n] == owners[RUN - 1 :])
+    own, minima = owners[at], minima[at]
     fresh = np.ones(len(minima), bool)
     fresh[1:] = (minima[1:] != minima[:-1]) | (own[1:] != own[:-1])
-    own, keys = own[fresh], _key(0, minima[fresh])
+    at, keys = at[fresh], _key(0, minima[fresh])
     keep = wanted[keys.view(np.uint64) >> np.uint64(64 - WANTED_BITS)]
-    return own[keep], keys[keep]
+    return at[keep], keys[keep]
 
 
 class _Items:
@@ -244,10 +244,18 @@ def _lcs(a: list[str], positions: dict[str, int], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
+def _runs_of(item: list[str]) -> set[tuple[str, ...]]:
+    return {tuple(item[p : p + RUN]) for p in range(len(item) - RUN + 1)}
+
+
+def _run_at(runs: set[tuple[str, ...]], doc: list[str]) -> bool:
+    return any(tuple(doc[k : k + RUN]) in runs for k in range(len(doc) - RUN + 1))
+
+
 def _run_in(item: list[str], doc: list[str]) -> bool:
     """Whether the document holds a run of RUN words of the item."""
-    runs = {tuple(item[p : p + RUN]) for p in range(len(item) - RUN + 1)}
-    return bool(runs) and any(tuple(doc[k : k + RUN]) in runs for k in range(len(doc) - RUN + 1))
+    runs = _runs_of(item)
+    return bool(runs) and _run_at(runs, doc)
 
 
 def _reworded_in(item: list[str], doc: list[str]) -> bool:
@@ -320,6 +328,7 @@ def _search(corpus: DataFrame, items: DataFrame, doc_kind: str, item_kind: str)
         for k, i in known.runs:
             by_key[k].append(i)
         wanted = known.wanted()
+        runs = [_runs_of(w) for w in item_words]
         local = _Hasher()
         for batch in batches:
             ids = batch["doc_id"].tolist()
@@ -329,9 +338,12 @@ def _search(corpus: DataFrame, items: DataFrame, doc_kind: str, item_kind: str)
                 lengths = np.array([len(w) for w in part], np.int64)
                 doc_of = np.repeat(np.arange(len(part)), lengths)
                 hashes = local.words([w for own in part for w in own])
-                owners, keys = run_keys(hashes, doc_of, wanted)
-                candidates = {(n, i) for n, k in zip(owners.tolist(), keys.tolist(), strict=True) for i in by_key.get(k, ())}
-                found |= {(first + n, i) for n, i in candidates if _run_in(item_words[i], part[n])}
+                starts = np.cumsum(lengths) - lengths
+                for at, key in zip(*(x.tolist() for x in run_keys(hashes, doc_of, wanted)), strict=True):
+                    if key in by_key:
+                        n = int(doc_of[at])
+                        own = part[n][at - int(starts[n]) :][: RUN + RUN - SHINGLE]  # the runs that may have this smallest shingle
+                        found |= {(first + n, i) for i in by_key[key] if (first + n, i) not in found and _run_at(runs[i], own)}
                 for n, i, start, end in known.reworded(hashes, lengths, doc_of, wanted):
                     if (first + n, i) not in found and _reworded_in(item_words[i], part[n][start:end]):
                         found.add((first + n, i))
