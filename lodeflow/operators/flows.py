@@ -11,14 +11,16 @@ PRIMARY_ORDER = ("CWE-78", "CWE-89", "CWE-94", "CWE-22", "CWE-79", "CWE-918")
 def pair_flows(sources: DataFrame, sinks: DataFrame, on: list[str], categories: str, line: str) -> DataFrame:
     """Sources and sinks with equal keys whose category arrays overlap.
 
-    An equi-join with the overlap as a residual condition; columns of the sides are prefixed
+    The categories are exploded and joined with the keys, so that sides of a hot key only meet under a category they
+    share; a pair is kept under the first of its shared categories, once. Columns of the sides are prefixed
     ``source_`` and ``sink_``. Adds ``shared`` (sorted) and ``distance``. Null keys and null or empty
     categories pair with nothing.
     """
-    left = sources.select(*on, *(F.col(c).alias(f"source_{c}") for c in sources.columns if c not in on))
-    right = sinks.select(*on, *(F.col(c).alias(f"sink_{c}") for c in sinks.columns if c not in on))
-    joined = left.join(right, on).where(F.arrays_overlap(f"source_{categories}", f"sink_{categories}"))
-    return joined.withColumn("shared", F.array_sort(F.array_intersect(f"source_{categories}", f"sink_{categories}"))).withColumn("distance", F.abs(F.col(f"sink_{line}") - F.col(f"source_{line}")))
+    left = sources.select(*on, *(F.col(c).alias(f"source_{c}") for c in sources.columns if c not in on), F.explode(F.array_distinct(categories)).alias("_category"))
+    right = sinks.select(*on, *(F.col(c).alias(f"sink_{c}") for c in sinks.columns if c not in on), F.explode(F.array_distinct(categories)).alias("_category"))
+    shared = F.array_sort(F.array_intersect(f"source_{categories}", f"sink_{categories}"))
+    joined = left.join(right, [*on, "_category"]).withColumn("shared", shared).where(F.col("_category") == F.col("shared")[0]).drop("_category")
+    return joined.withColumn("distance", F.abs(F.col(f"sink_{line}") - F.col(f"source_{line}")))
 
 
 def heuristic_score(same_function: Column, template: Column, distance: Column, same_file: Column, base: float = 0.5) -> Column:

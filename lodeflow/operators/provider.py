@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,16 +13,7 @@ from lodeflow.session import written
 Provider = Callable[[list[str]], list[tuple[str, float]]]
 
 
-def stub_provider(prompts: list[str]) -> list[tuple[str, float]]:
-    """A provider without a network: label and confidence come from a digest of the prompt."""
-    out = []
-    for p in prompts:
-        d = hashlib.sha256(p.encode()).digest()
-        out.append((("vulnerable", "safe", "uncertain")[d[0] % 3], round(0.3 + d[1] / 255 * 0.7, 4)))
-    return out
-
-
-def complete(df: DataFrame, prompt: str, provider: Provider = stub_provider, batch: int = 64, cache: DataFrame | None = None) -> DataFrame:
+def complete(df: DataFrame, prompt: str, provider: Provider, batch: int = 64, cache: DataFrame | None = None) -> DataFrame:
     """Add ``answer`` and ``answer_confidence`` for each prompt; equal prompts are asked once.
 
     Answers in ``cache`` (key, answer, answer_confidence; key is the prompt's SHA-256) aren't asked again.
@@ -54,7 +44,7 @@ def complete(df: DataFrame, prompt: str, provider: Provider = stub_provider, bat
     return keyed.join(answers, "_key", "left").drop("_key")
 
 
-def feedback(df: DataFrame, key: str, prompt: str, provider: Provider = stub_provider, rounds: int = 3, least: float = 0.7) -> DataFrame:
+def feedback(df: DataFrame, key: str, prompt: str, provider: Provider, rounds: int = 3, least: float = 0.7) -> DataFrame:
     """key, answer, answer_confidence, round: ask again, with the round in the prompt, while an answer is unsure.
 
     At most ``rounds`` rounds; each round's open rows are written, so that lineage doesn't grow.

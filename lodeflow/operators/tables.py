@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -62,22 +64,50 @@ def overlay(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
 
 
 def balanced(df: DataFrame, label: str, key: str) -> DataFrame:
-    """As many rows of each label as the rarest has, chosen by the digest of the key (stable over runs)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    least = counts.agg(F.min("_n")).first()[0] or 0
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(F.sha2(F.col(key).cast("string"), 256), key)))
-    return ranked.where(F.col("_rn") <= least).drop("_rn")
+    """As many rows of each label as the rarest has, chosen by the digest of the key (stable over runs).
+
+    Rows are counted by the head of their digest first; whole buckets below the cut stay as they are, and only those of the bucket
+    that holds the cut are ranked, so that no label is sorted in one task.
+    """
+    marked = df.withColumn("_d", F.sha2(F.col(key).cast("string"), 256)).withColumn("_b", F.substring("_d", 1, 3))
+    counts = marked.groupBy(label, "_b").agg(F.count("*").alias("_n"))
+    least = counts.groupBy(label).agg(F.sum("_n").alias("_t")).agg(F.min("_t").alias("_least"))
+    ahead = F.sum("_n").over(Window.partitionBy(label).orderBy("_b")) - F.col("_n")  # 4,096 rows a label
+    room = counts.select(F.col(label).alias("_label"), F.col("_b").alias("_bucket"), ahead.alias("_ahead"), "_n").crossJoin(F.broadcast(least))  # one row
+    room = room.where("_ahead < _least").select("_label", "_bucket", (F.col("_least") - F.col("_ahead")).alias("_room"), "_n")
+    held = marked.join(room, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_bucket")))
+    ranked = held.where("_n > _room").withColumn("_rn", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_d", key))).where("_rn <= _room")
+    return held.where("_n <= _room").select(df.columns).unionByName(ranked.select(df.columns))
+
+
+#: Queries and vectors that meet in one task of a search.
+QUERY_BLOCK, VECTOR_BLOCK = 1_000, 50_000
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """For each query its k nearest vectors by Euclidean distance: query_id, key, distance, rank.
+    """For each query its k nearest other vectors by Euclidean distance (5 decimals): query_id, key, distance, rank.
 
-    A stated query set meets all rows in one pass; each side of the pass keeps only k rows per query
-    before the final ranking. The query side is broadcast by Spark only if it is small enough.
+    A stated query set meets all rows in blocks: queries and vectors are hashed into blocks, each block of queries is sent to each
+    block of vectors, and a task gives the k nearest of its own; these are ranked at the end. Null vectors are left out; ties go to the smaller key.
     """
-    q = queries.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("_q"))
-    v = vectors.select(key, F.col(vector).cast("array<double>").alias("_v"))
-    gap = F.sqrt(F.aggregate(F.zip_with("_q", "_v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x))
-    pairs = v.join(q, F.col("query_id") != F.col(key)).select("query_id", key, F.round(gap, 5).alias("distance"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key)))
+    kind = dict(vectors.dtypes)[key]
+    q, v = (d.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")) for d in (queries, vectors))
+    n_q, n_v = -(-q.count() // QUERY_BLOCK) or 1, -(-v.count() // VECTOR_BLOCK) or 1
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("id", "x", block(n_q).alias("qb"), each(n_v).alias("vb"))
+    right = v.select("id", "x", block(n_v).alias("vb"), each(n_q).alias("qb"))
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(a) and len(b):
+            ids, x = b["id"].to_numpy(), np.stack(b["x"].to_numpy())
+            for one, y in zip(a["id"].tolist(), a["x"], strict=True):
+                d = np.round(np.sqrt(((x - y) ** 2).sum(axis=1)), 5)
+                order = [i for i in np.lexsort((ids, d))[: k + 1].tolist() if ids[i] != one][:k]
+                rows += [(one, ids[i], d[i]) for i in order]
+        return pd.DataFrame(rows, columns=["query_id", key, "distance"])
+
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(search, f"query_id {kind}, {key} {kind}, distance double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key)))
     return ranked.where(F.col("rank") <= k)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodeflow.functions import scalars as fn
-from lodeflow.operators import cascade, flows, provider, tables, text
+from lodeflow.operators import cascade, flows, tables, text
 from lodeflow.session import table
-from lodeflow.sources import code
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -197,16 +196,20 @@ def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.confusion(_decided(spark, sf_dir), F.col("label") == 1, F.col("decision") == "vulnerable")
 
 
+_MARK = "VULNERABILITY: (CWE-\\d+) - [^\\n]*\\(Line (\\d+)\\)"
+
+
 @_query(
-    f"with a as (select example_id, sink_line, try_cast(nullif(regexp_extract(code_context, 'VULNERABILITY: (CWE-\\d+) - [^\\n]*\\(Line (\\d+)\\)', 2), '') as INT) as ln, nullif(regexp_extract(code_context, 'VULNERABILITY: (CWE-\\d+) - [^\\n]*\\(Line (\\d+)\\)', 1), '') as cwe from {_E}) "
-    "select example_id, cwe, ln as annotated_line, coalesce((abs(sink_line - ln) <= 3)::INT, 0)::INT as near from a where cwe is not null"
+    f"with a as (select example_id, sink_line, unnest(regexp_extract_all(code_context, '{_MARK}', 1)) as cwe, try_cast(unnest(regexp_extract_all(code_context, '{_MARK}', 2)) as INT) as ln from {_E}) "
+    "select distinct example_id, cwe, ln as annotated_line, coalesce((abs(sink_line - ln) <= 3)::INT, 0)::INT as near, max(coalesce((abs(sink_line - ln) <= 3)::INT, 0)) over (partition by example_id)::INT as label from a"
 )
 def annotation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotations in code contexts and whether the sink lies within three lines of them."""
-    form = r"VULNERABILITY: (CWE-\d+) - [^\n]*\(Line (\d+)\)"
-    a = examples(spark, sf_dir).select("example_id", "sink_line", F.regexp_extract("code_context", form, 1).alias("cwe"), F.expr(f"try_cast(regexp_extract(code_context, r'{form}', 2) as int)").alias("annotated_line"))
+    """All annotations in code contexts, which of them stand within three lines of the sink, and whether any does."""
+    marks = F.arrays_zip(F.regexp_extract_all("code_context", F.lit(_MARK), F.lit(1)).alias("cwe"), F.regexp_extract_all("code_context", F.lit(_MARK), F.lit(2)).alias("line"))
+    a = examples(spark, sf_dir).select("example_id", "sink_line", F.explode(marks).alias("m")).select("example_id", "sink_line", "m.cwe", F.expr("try_cast(m.line as int)").alias("annotated_line"))
     near = F.coalesce((F.abs(F.col("sink_line") - F.col("annotated_line")) <= 3).cast("int"), F.lit(0))
-    return a.where("cwe != ''").select("example_id", "cwe", "annotated_line", near.alias("near"))
+    rows = a.select("example_id", "cwe", "annotated_line", near.alias("near")).distinct()
+    return rows.withColumn("label", F.max("near").over(Window.partitionBy("example_id")))  # the annotations of one text
 
 
 @_query(
@@ -291,27 +294,6 @@ def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.overlay(base, again, "path").select("path", "repository", "language", "lines")
 
 
-@_query()
-def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of the code contexts by language."""
-    named = examples(spark, sf_dir).select(F.col("example_id").cast("string").alias("path"), fn.language_of_path(F.col("file_path")).alias("language"), F.expr("trim(both '\\n' from code_context)").alias("content"))
-    return code.symbols(named).select("path", "name", "type", "line", "visibility")
-
-
-@_query()
-def provider_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that stay uncertain, judged by the provider; the stub stands for a remote one."""
-    unsure = _decided(spark, sf_dir).where("decision = 'uncertain'")
-    return provider.complete(unsure, "code_context").select("example_id", "answer", "answer_confidence", F.round("tier2", 6).alias("score"))
-
-
-@_query()
-def feedback_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uncertain candidates asked up to three times."""
-    unsure = _decided(spark, sf_dir).where("decision = 'uncertain'")
-    return provider.feedback(unsure, "example_id", "code_context")
-
-
 @_query(
     f"with l as {_LINES}, a as (select doc_id, min(line) as hit from l where regexp_matches(code, 'CWE-22') group by 1) "
     "select l.doc_id, string_agg(lpad(line::VARCHAR, 4, ' ') || '| ' || code, chr(10) order by line) as rendered from l join a on l.doc_id = a.doc_id and l.line between hit - 1 and hit + 1 group by 1"

@@ -238,22 +238,22 @@ def _specs(spark: SparkSession, sf_dir: str, side: str, least: float) -> DataFra
 
 
 @_query(
-    f"select distinct s.verb as source, k.verb as sink, s.type from (select verb, unnest(types) as type from {_SPECS.format(side='source', least=0.9)}) s join (select verb, unnest(types) as type from {_SPECS.format(side='sink', least=0.9)}) k on s.type = k.type"
+    f"select distinct s.verb as source, k.verb as sink, s.type from (select verb, unnest(types) as type from {_SPECS.format(side='source', least=0.0)}) s join (select verb, unnest(types) as type from {_SPECS.format(side='sink', least=0.0)}) k on s.type = k.type"
 )
 def pair_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verbs of source and sink methods that meet under a weakness."""
-    return flows.typed_pairs(_specs(spark, sf_dir, "source", 0.9), _specs(spark, sf_dir, "sink", 0.9), "verb", "types")
+    return flows.typed_pairs(_specs(spark, sf_dir, "source", 0.0), _specs(spark, sf_dir, "sink", 0.0), "verb", "types")
 
 
 @_query(
-    f"with p as (select distinct s.verb as source, k.verb as sink, s.type from (select verb, unnest(types) as type from {_SPECS.format(side='source', least=0.9)}) s join (select verb, unnest(types) as type from {_SPECS.format(side='sink', least=0.9)}) k on s.type = k.type), "
-    f"z as (select f.vulnerability_type as type, count(*) as n from trace_steps t join {_F} f on f.id = t.finding_id where lower(trim(t.step_type)) = 'sanitizer' and f.confidence >= 0.97::DOUBLE group by 1) "
+    f"with p as (select distinct s.verb as source, k.verb as sink, s.type from (select verb, unnest(types) as type from {_SPECS.format(side='source', least=0.0)}) s join (select verb, unnest(types) as type from {_SPECS.format(side='sink', least=0.0)}) k on s.type = k.type), "
+    f"z as (select f.vulnerability_type as type, count(*) as n from trace_steps t join {_F} f on f.id = t.finding_id where lower(trim(t.step_type)) = 'sanitizer' and f.confidence >= 0.0::DOUBLE group by 1) "
     "select source, sink, p.type, coalesce(n, 0)::BIGINT as n_sanitizers, round(0.9::DOUBLE * case when coalesce(n, 0) > 0 then 0.5::DOUBLE else 0.85::DOUBLE end, 6) as adjusted from p left join z on p.type = z.type"
 )
 def pair_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs with the sanitizers of their weakness and the adjusted confidence."""
-    pairs = flows.typed_pairs(_specs(spark, sf_dir, "source", 0.9), _specs(spark, sf_dir, "sink", 0.9), "verb", "types").withColumn("confidence", F.lit(0.9))
-    f = findings(spark, sf_dir).where("confidence >= 0.97D").select(F.col("id").alias("finding_id"), F.col("vulnerability_type").alias("type"))
+    pairs = flows.typed_pairs(_specs(spark, sf_dir, "source", 0.0), _specs(spark, sf_dir, "sink", 0.0), "verb", "types").withColumn("confidence", F.lit(0.9))
+    f = findings(spark, sf_dir).where("confidence >= 0.0D").select(F.col("id").alias("finding_id"), F.col("vulnerability_type").alias("type"))
     clean = table(spark, sf_dir, "trace_steps").where(F.lower(F.trim("step_type")) == "sanitizer").select("finding_id").join(f, "finding_id")
     return flows.with_sanitizers(pairs, clean, "type", "confidence").select("source", "sink", "type", "n_sanitizers", F.round("adjusted", 6).alias("adjusted"))
 

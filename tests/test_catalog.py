@@ -5,7 +5,7 @@ import pytest
 from lodeflow.plans import catalog
 from tests.compare import connect, rows_of_spark, rows_of_sql
 
-MAY_BE_EMPTY = {"trade_orphans", "cycle_nodes", "without_urgent", "provider_cascade", "feedback_loop", "annotation_labels", "propagate_one_hop", "trade_closure", "sanitized_findings"}
+MAY_BE_EMPTY = {"trade_orphans", "cycle_nodes", "without_urgent", "annotation_labels", "propagate_one_hop", "trade_closure", "sanitized_findings"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))

@@ -1,6 +1,7 @@
 """Core operators on small fixtures: nulls, empty tables, ties, repeats and clashing columns."""
 
 import datetime as dt
+import hashlib
 import json
 import math
 import random
@@ -32,7 +33,7 @@ def nodes_of(spark, names):
 def test_scalars(spark):
     df = spark.createDataFrame([("CRITICAL ", "a/B.PY", "CWE-89"), ("odd", "x", "CWE-1"), (None, None, None)], "s string, p string, c string")
     got = values(df.select(fn.severity_rank(F.col("s")).alias("r"), fn.language_of_path(F.col("p")).alias("l"), fn.described(F.col("c")).alias("d"), fn.enum_or_default(F.col("s"), fn.SEVERITIES, "info").alias("e")))
-    assert got == sorted([(1, "python", "SQL injection", "critical"), (6, None, "Unknown (CWE-1)", "info"), (6, None, None, "info")], key=repr)
+    assert got == sorted([(1, "python", "SQL Injection", "critical"), (6, None, "Unknown (CWE-1)", "info"), (6, None, None, "info")], key=repr)
 
 
 @pytest.mark.parametrize(("glob", "path", "hit"), [("*.py", "a/b.py", True), ("test_*", "a/test_x", True), ("**/x/**", "a/x/b", True), ("**/x/**", "x/b", False), ("a?c", "abc", True), ("[!a]b", "ab", False), ("a.b", "axb", False), ("*", None, False)])
@@ -196,18 +197,24 @@ def test_baselines(spark):
     assert mark[0] == mark[1] and len(mark[0]) == 16
 
 
+def stub_provider(prompts):
+    """Labels and confidences that a digest of the prompt gives."""
+    digests = [hashlib.sha256(p.encode()).digest() for p in prompts]
+    return [(("vulnerable", "safe", "uncertain")[d[0] % 3], round(0.3 + d[1] / 255 * 0.7, 4)) for d in digests]
+
+
 def test_provider(spark):
     df = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q"), (4, None)], "id int, prompt string").withColumn("answer", F.lit("old"))
 
     def failing(prompts):
         raise RuntimeError("no network")
 
-    asked = {r.id: (r.answer, r.answer_confidence) for r in provider.complete(df, "prompt").collect()}
-    assert asked[1] == asked[2] == provider.stub_provider(["p"])[0] and asked[4] == (None, None)
+    asked = {r.id: (r.answer, r.answer_confidence) for r in provider.complete(df, "prompt", stub_provider).collect()}
+    assert asked[1] == asked[2] == stub_provider(["p"])[0] and asked[4] == (None, None)
     assert {r.id: r.answer for r in provider.complete(df, "prompt", failing).collect()} == {1: "error", 2: "error", 3: "error", 4: None}
     cache = spark.range(1).select(F.sha2(F.lit("p"), 256).alias("key"), F.lit("kept").alias("answer"), F.lit(0.5).alias("answer_confidence"))
     assert {r.id: r.answer for r in provider.complete(df, "prompt", failing, cache=cache).collect()} == {1: "kept", 2: "kept", 3: "error", 4: None}
-    settled = provider.feedback(spark.range(40).selectExpr("id", "concat('p', id) as prompt"), "id", "prompt").collect()
+    settled = provider.feedback(spark.range(40).selectExpr("id", "concat('p', id) as prompt"), "id", "prompt", stub_provider).collect()
     assert len(settled) == 40 and {r["round"] for r in settled} <= {1, 2, 3}
 
 
