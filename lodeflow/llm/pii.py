@@ -12,7 +12,9 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -82,8 +84,11 @@ SLOT_AFTER = re.compile(_BEFORE + _TITLE + _NAME)
 SLOT_SECOND = re.compile(rf"\G{_SP}(?:and|und|et|y){_SP}".replace(r"\G", "") + _TITLE + _NAME + rf"(?={_SP}on{_SP}the{_SP}call)")
 SAID = re.compile(rf"{_SP}(?:disagreed|agreed|objected|signed{_SP}off|complained|called{_SP}back){_SP}(?:with|that|to|about){_SP}")
 NAMED_BEFORE = re.compile(rf"(?<![\w,]){_TITLE}" + _NAME + r"\Z")
-#: Words without which a grammar needn't run: it holds one of them wherever it matches.
-_CUES = ("eported", "pproved", "eviewed", "ssigned", "ritten", "igned", "aised", "iled", "wner", "uthor", "ontact", "eporter", "ssignee", "ontakt", "ustomer", "ttn", "ame", "caller", "employee", "user", "patient", "Kund", "client", "ttention", "dump", "emeldet", "ignalé", "comunicó", "gehört", "--")
+# The words that slots begin with: the grammar is tried where one of them stands.
+_CUES = (
+    "Reported reported Approved approved Reviewed reviewed Assigned assigned Written written Signed signed Raised raised Filed filed Owner owner Author author Contact contact Reporter reporter"
+    " Assignee assignee Kontakt kontakt Customer customer Attn attn Name name caller employee user patient Kundin Kunde cliente client attention of Gemeldet gemeldet Signalé signalé comunicó gehört --"
+).split()
 _VERBS = ("greed", "objected", "signed", "complained", "called")
 # The grammar's own ways to write the sign, so that nothing it accepts is passed over.
 _AT_SIGNS = re.compile(r"@|%40|&#64;|AT|[(\[{]\s*(?:at|ät)")
@@ -94,6 +99,8 @@ _NO_TERMS = {"dr", "prof", "mr", "mrs", "ms", "herr", "frau"}
 
 def terms_of(name: str) -> list[str]:
     """The terms of a name span in lower case: double names apart, initials left out."""
+    if name.isalpha():
+        return [name.lower()] if len(name) > 1 else []
     return [t for t in re.split(r"[^\w]+", name.lower()) if len(t) > 1]
 
 
@@ -121,14 +128,28 @@ def entity_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+@cache
+def _cues() -> ahocorasick.Automaton:
+    words = ahocorasick.Automaton()
+    for w in _CUES:
+        words.add_word(w, len(w))
+    words.make_automaton()
+    return words
+
+
 def name_slots(text: str) -> list[tuple[int, int]]:
     """Name-shaped spans in slots that hold a person.
 
-    The slot grammars only run where a word of theirs occurs at all.
+    The slot grammars only run where a word of theirs stands.
     """
     found = []
-    if any(a in text for a in _CUES):
-        for m in SLOT_AFTER.finditer(text):
+    end = 0
+    for last, length in _cues().iter(text):
+        at = last - length + 1
+        if length == 2 and text[at] == "-" and at and text[at - 1] in "\n ":
+            at -= 1  # a signature's dashes take the blank before them
+        if at >= end and (m := SLOT_AFTER.match(text, at)):
+            end = m.end()
             found.append(m.span("name"))
             if second := SLOT_SECOND.match(text, m.end("name")):
                 found.append(second.span("name"))
