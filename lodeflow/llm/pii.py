@@ -90,8 +90,11 @@ _CUES = (
     " Assignee assignee Kontakt kontakt Customer customer Attn attn Name name caller employee user patient Kundin Kunde cliente client attention of Gemeldet gemeldet Signalé signalé comunicó gehört --"
 ).split()
 _VERBS = ("greed", "objected", "signed", "complained", "called")
-# The grammar's own ways to write the sign, so that nothing it accepts is passed over.
-_AT_SIGNS = re.compile(r"@|%40|&#64;|AT|[(\[{]\s*(?:at|ät)")
+# All ways in which the grammar of addresses writes the sign.
+_AT_SIGNS = re.compile(r"@|%40|&#64;|(?<=\s)AT(?=\s)|[(\[{]\s*(?:at|AT|ät)\s*[)\]}]")
+_LOCAL = re.compile(r"[\w.+%\-]")
+# The words that labels of identity numbers begin with.
+_LABELS = "social ssn tin tax passport national id personal driving driver ausweisnummer steuer reisepass documento pièce dni nif nie número pasaporte numéro passeport".split()
 SHAPED = re.compile(rf"(?<![\w.@/\-])(?=(?P<name>(?:[A-ZÀ-Þ]\.{_SP}){_CAP}|{_CAP},{_SP}{_CAP}|{_CAP}{_SP}(?:[A-ZÀ-Þ]\.{_SP})?{_CAP})(?![\w@/]))")
 _TERM = re.compile(r"(?<![\w@./\-])[^\W\d_]{2,}(?:[-'’][^\W\d_]+)*(?![\w@/])")
 _NO_TERMS = {"dr", "prof", "mr", "mrs", "ms", "herr", "frau"}
@@ -104,6 +107,42 @@ def terms_of(name: str) -> list[str]:
     return [t for t in re.split(r"[^\w]+", name.lower()) if len(t) > 1]
 
 
+@cache
+def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for w in words:
+        found.add_word(w, len(w))
+    found.make_automaton()
+    return found
+
+
+def _emails(text: str) -> Iterator[re.Match]:
+    """Matches of EMAIL: the grammar is tried at the start of what stands before a sign."""
+    end = 0
+    for sign in _AT_SIGNS.finditer(text):
+        at = sign.start()
+        while at and text[at - 1] in " \t\n":
+            at -= 1
+        while at and _LOCAL.match(text, at - 1):
+            at -= 1
+        if at >= end and (m := EMAIL.match(text, at)):
+            end = m.end()
+            yield m
+
+
+def _labelled(text: str) -> Iterator[re.Match]:
+    """Matches of LABELLED_ID: the grammar is tried where a label's first word stands."""
+    low = text.lower()
+    if len(low) != len(text):
+        yield from LABELLED_ID.finditer(text)
+        return
+    end = 0
+    for at in sorted(last - length + 1 for last, length in _automaton(tuple(_LABELS)).iter(low)):
+        if at >= end and (m := LABELLED_ID.match(text, at)):
+            end = m.end()
+            yield m
+
+
 def entity_spans(text: str) -> list[tuple[str, int, int]]:
     """E-mail, address, identity number and phone spans; the earlier kind wins an overlap."""
     spans: list[tuple[str, int, int]] = []
@@ -112,12 +151,12 @@ def entity_spans(text: str) -> list[tuple[str, int, int]]:
         if all(end <= s or start >= e for _, s, e in spans):
             spans.append((kind, start, end))
 
-    for m in EMAIL.finditer(text) if _AT_SIGNS.search(text) else ():
+    for m in _emails(text):
         if not re.match(SERVICE, m["local"]) and not m["after"] and not re.search(r"\d$", m["host"]):
             add("email", m.start("local"), m.end("host"))
     for m in ADDRESS.finditer(text):
         add("address", *m.span())
-    for m in LABELLED_ID.finditer(text):
+    for m in _labelled(text):
         if sum(c.isdigit() for c in m["id"]) >= 4 and not re.fullmatch(r"[0\-/ \n]+", m["id"]):
             add("id_number", *m.span("id"))
     for m in BARE_ID.finditer(text):
@@ -128,13 +167,6 @@ def entity_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-@cache
-def _cues() -> ahocorasick.Automaton:
-    words = ahocorasick.Automaton()
-    for w in _CUES:
-        words.add_word(w, len(w))
-    words.make_automaton()
-    return words
 
 
 def name_slots(text: str) -> list[tuple[int, int]]:
@@ -144,7 +176,7 @@ def name_slots(text: str) -> list[tuple[int, int]]:
     """
     found = []
     end = 0
-    for last, length in _cues().iter(text):
+    for last, length in _automaton(tuple(_CUES)).iter(text):
         at = last - length + 1
         if length == 2 and text[at] == "-" and at and text[at - 1] in "\n ":
             at -= 1  # a signature's dashes take the blank before them
