@@ -145,7 +145,7 @@ def _candidate_sql(kind: str) -> str:
 
 
 _CANDIDATES = (
-    f"with {_IMPORTED}, {_ranks_sql(10)}, m as (select node, (score - (select min(score) from r10)) / ((select max(score) from r10) - (select min(score) from r10)) as rank from r10), "
+    f"with {_IMPORTED}, {_ranks_sql(10)}, b as (select min(score) as lo, max(score) as hi from r10), m as (select node, case when hi = lo then 1.0::DOUBLE else (score - lo) / (hi - lo) end as rank from r10, b), "
     "f as (select distinct on (path) * from repo_files order by path), x as (select distinct path, unnest(exports) as name, lower(array_to_string(coalesce(imports, []), ' ')) as imported, coalesce(rank, 0) as rank from f left join m on m.node = path), "
     "c as (select path, name, kind, part + more as score from (" + " union all ".join(_candidate_sql(k) for k in taint.NAMES) + ") where part > 0)"
 )
