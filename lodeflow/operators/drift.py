@@ -9,6 +9,7 @@ JVM expressions: no shuffle, whatever the number of documents.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -105,13 +106,13 @@ def _score_sql(node: Field, schema: DeclaredSchema) -> str:
     The same kind of value counts under the same parent (or anywhere if the value has a telling
     shape); elsewhere, or with another kind, the names must be related.
     """
-    mine = _plain(f"'{node.name}'")
-    related = f"(contains({_plain('a.name')}, {mine}) or (length({_plain('a.name')}) >= 3 and contains({mine}, {_plain('a.name')})))"
+    mine = "'" + re.sub("[^a-z0-9]", "", node.name.lower()) + "'"
+    related = f"(contains(a.plain, {mine}) or (length(a.plain) >= 3 and contains({mine}, a.plain)))"
     near = f"a.parent = '{node.parent}'"
     if node.kind == OBJECT and node in schema.parents:
         inner = "array(" + ",".join(f"'{c}'" for c in schema.children(node.path)) + ")"
         fits = f"a.kind = 'object' and size(array_intersect(a.keys, {inner})) * 2 >= size({inner})"
-        return f"case when {fits} then 4 + int({near}) + 2 * int({related}) when {near} and {_plain('a.name')} = {mine} then 3 else 0 end"
+        return f"case when {fits} then 4 + int({near}) + 2 * int({related}) when {near} and a.plain = {mine} then 3 else 0 end"
     kinds = {INT: "('int')", NUMBER: "('int','number')"}.get(node.kind, f"('{node.kind}')")
     same = f"a.kind in {kinds}"
     if node.shape:
@@ -121,7 +122,7 @@ def _score_sql(node: Field, schema: DeclaredSchema) -> str:
     if node.kind in (INT, NUMBER):
         loose = "a.kind in ('string', 'number') and try_cast(a.text as double) is not null"
         return f"case when {same} and ({near} or {related}) then 4 + int({near}) + 2 * int({related}) when {related} or ({near} and {loose}) then 1 + int({near}) + int({related}) + int({loose}) else 0 end"
-    return f"case when {same} and {related} then 4 + int({near}) when {near} and {_plain('a.name')} = {mine} then 2 else 0 end"
+    return f"case when {same} and {related} then 4 + int({near}) when {near} and a.plain = {mine} then 2 else 0 end"
 
 
 def _fits_sql(node: Field, kind: str) -> str:
@@ -157,7 +158,8 @@ def enforce(df: DataFrame, body: str, schema: DeclaredSchema, prefix: str = "_")
         f"case when {prefix}there['{n.path}'] is null" + (f" and {prefix}there['{n.parent}'] = 'object'" if n.parent else "") + f" then '{n.path}' end" for n in schema.nodes
     )
     out = out.withColumn(f"{prefix}missing", F.expr(f"case when {prefix}doc is not null then array_compact(array({missing})) end"))
-    extra = f"filter({prefix}rescue, a -> not array_contains({declared}, a.path))"
+    bare = f"filter({prefix}rescue, a -> not array_contains({declared}, a.path))"
+    extra = f"transform({bare}, a -> named_struct('path', a.path, 'parent', a.parent, 'name', a.name, 'kind', a.kind, 'raw', a.raw, 'text', a.text, 'keys', a.keys, 'plain', {_plain('a.name')}))"
     pairs = ", ".join(
         f"if(array_contains({prefix}missing, '{n.path}'), filter(transform({prefix}extra, a -> named_struct('score', {_score_sql(n, schema)}, 'declared', '{n.path}', 'found', a.path)), s -> s.score > 0), array())"
         for n in schema.nodes
