@@ -85,17 +85,20 @@ def _kind_sql(kind_of: str) -> str:
 
 
 def _entries_sql(doc: str, parent: str) -> str:
-    """The fields directly under an object: path, parent, name, kind, raw JSON, plain text, child names."""
+    """The fields directly under an object: path, parent, name, kind, and the value ``v`` as it is."""
     at = f"$.{parent}" if parent else "$"
     prefix = f"'{parent}.' || " if parent else ""
     members = f"try_variant_get({doc}, '{at}', 'map<string,variant>')"
     return (
         f"coalesce(transform(map_entries({members}), e -> named_struct('path', {prefix}e.key, 'parent', '{parent}', 'name', e.key,"
-        f" 'kind', {_kind_sql('schema_of_variant(e.value)')}, 'raw', to_json(e.value), 'text', try_variant_get(e.value, '$', 'string'),"
-        f" 'keys', coalesce(map_keys(try_variant_get(e.value, '$', 'map<string,variant>')), array()))), array())"
+        f" 'kind', {_kind_sql('schema_of_variant(e.value)')}, 'v', e.value)), array())"
     )
 
 
+#: What is written out of a value, of those fields only that are looked at: its plain text and its JSON.
+_TEXT, _RAW = "try_variant_get(f.v, '$', 'string')", "to_json(f.v)"
+
+
 def _plain(name: str) -> str:
     return f"regexp_replace(lower({name}), '[^a-z0-9]', '')"
 
@@ -150,8 +153,12 @@ def enforce(df: DataFrame, body: str, schema: DeclaredSchema, prefix: str = "_")
         by_path.setdefault(_fits_sql(n, "f.kind"), []).append(n.path)
     fits = " or ".join(f"({kind} and f.path in ({', '.join(repr(p) for p in paths)}))" for kind, paths in by_path.items())
     kept = "f.kind != 'null'"
-    out = out.withColumn(f"{prefix}rescue", F.expr(f"filter({prefix}fields, f -> {kept} and not ({fits}))"))
-    out = out.withColumn(f"{prefix}typed", F.expr(f"map_from_entries(transform(filter({prefix}fields, f -> {kept} and ({fits})), f -> struct(f.path, struct(f.text as text, f.raw as raw))))"))
+    rescued = (
+        f"transform(filter({prefix}fields, f -> {kept} and not ({fits})), f -> named_struct('path', f.path, 'parent', f.parent, 'name', f.name, 'kind', f.kind, 'raw', {_RAW}, 'text', {_TEXT},"
+        " 'keys', coalesce(map_keys(try_variant_get(f.v, '$', 'map<string,variant>')), array())))"
+    )
+    out = out.withColumn(f"{prefix}rescue", F.expr(rescued))
+    out = out.withColumn(f"{prefix}typed", F.expr(f"map_from_entries(transform(filter({prefix}fields, f -> {kept} and ({fits})), f -> struct(f.path, struct({_TEXT} as text, {_RAW} as raw))))"))
     out = out.withColumn(f"{prefix}there", F.expr(f"map_from_entries(transform({prefix}fields, f -> struct(f.path, f.kind)))"))
     declared = "array(" + ", ".join(f"'{n.path}'" for n in schema.nodes) + ")"
     missing = ", ".join(
